@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.decontaminate import contamination
+from textloom.llm.labelled import remainder
+from textloom.llm.quality import quality
+from textloom.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = lambda key: remainder(F.col(key), 5) == 0
+    scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~apart("doc_id"), keep=["doc_id"])
+    return scored.select("doc.doc_id", F.coalesce(apart("doc.doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"], size=10)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
@@ -21,6 +30,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = lambda key: remainder(F.col(key), 3) == 1
+    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~apart("doc_id"), keep=["doc_id"])
+    return scored.select("doc.doc_id", F.coalesce(apart("doc.doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "flagged")
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -36,7 +51,9 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality": op5_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
