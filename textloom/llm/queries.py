@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm import chat
 from textloom.llm.decontaminate import contamination
 from textloom.llm.labelled import remainder
+from textloom.llm.packing import pack
 from textloom.llm.quality import quality
 from textloom.llm.toxicity import toxicity
 
@@ -18,6 +19,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), keep=["doc_id"], capacity=2048, end_id=0)
+    rows = packed.placed(F.col("doc.doc_id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    return rows
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = lambda key: remainder(F.col(key), 5) == 0
     scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~apart("doc_id"), keep=["doc_id"])
@@ -74,6 +87,7 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op5_quality": op5_quality,
     "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
