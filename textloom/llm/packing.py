@@ -5,7 +5,7 @@ are of each length, at most ``capacity`` numbers however large the corpus, so it
 driver, and in run-length form: a placement run puts a range of equally long pieces at one offset
 of a range of sequences.
 
-1. Linear grouping: lengths over a small share of the capacity are sorted and split into groups of
+1. Linear grouping: lengths over a share of the capacity are sorted and split into groups of
    equal cardinality, each rounded up to its longest.
 2. The few sizes left make a configuration problem; its linear relaxation is solved by column
    generation (simplex on the groups, a knapsack for pricing) and rounded down.
@@ -37,7 +37,7 @@ from textloom.llm import store
 from textloom.llm.rows import quoted, small_batches
 from textloom.llm.tokens import encoder
 
-SMALL, GROUPS = 1 / 12, 64
+SHARES, GROUPS = (1 / 2, 2 / 5, 1 / 4), 64
 
 
 # --- the plan -----------------------------------------------------------------------------------
@@ -78,7 +78,7 @@ def best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int) -> t
     return total, content
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """Configurations with the number of sequences that get each: the linear optimum, rounded down."""
     m = len(sizes)
     if not m:
@@ -109,8 +109,16 @@ class Plan:
     sequences: int
 
 
-def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, small: float = SMALL) -> Plan:
-    """``counts``: pieces of each length from 0 to ``capacity``."""
+def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, shares: tuple[float, ...] = SHARES) -> Plan:
+    """``counts``: pieces of each length from 0 to ``capacity``.
+
+    The share of the capacity beyond which a piece is large trades the configurations' quality
+    against the loss by rounding up, so several are tried and the fewest sequences win.
+    """
+    return min((_plan(counts, capacity, groups, s) for s in shares), key=lambda p: p.sequences)
+
+
+def _plan(counts: np.ndarray, capacity: int, groups: int, small: float) -> Plan:
     runs: list[tuple[int, int, int, int]] = []
     used = np.zeros(capacity + 1, np.int64)
     rest = counts.astype(np.int64).copy()
