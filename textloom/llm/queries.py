@@ -12,6 +12,7 @@ from textloom.llm.decontaminate import contamination
 from textloom.llm.labelled import remainder
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality
+from textloom.llm.substring import substring_dedup
 from textloom.llm.toxicity import toxicity
 
 
@@ -31,6 +32,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"], size=13)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc.doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 12), ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS s FROM d WHERE len(w) >= 13)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 12)) AS p FROM again),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+left_ AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (doc_id)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = lambda key: remainder(F.col(key), 5) == 0
     scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~apart("doc_id"), keep=["doc_id"])
@@ -88,10 +107,11 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_substring": op2_substring,
     "op5_quality": op5_quality,
     "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op7_chat": OP7_SQL, "op8_decontaminate": OP8_SQL}
+SQL: dict[str, str] = {"op2_substring": OP2_SQL, "op7_chat": OP7_SQL, "op8_decontaminate": OP8_SQL}
