@@ -13,6 +13,7 @@ from textloom.llm.labelled import remainder
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality
 from textloom.llm.substring import substring_dedup
+from textloom.llm.suffixes import repeated_bytes
 from textloom.llm.toxicity import toxicity
 
 
@@ -85,6 +86,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_bytes(_table(spark, sf_dir, "documents"), keep=["doc_id"], size=200)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc.doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = lambda key: remainder(F.col(key), 3) == 1
     scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~apart("doc_id"), keep=["doc_id"])
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
+    "op9_suffixes": op9_suffixes,
     "op10_toxicity": op10_toxicity,
 }
 
