@@ -11,6 +11,7 @@ from textloom.llm import chat
 from textloom.llm.decontaminate import contamination
 from textloom.llm.labelled import remainder
 from textloom.llm.lines import line_dedup
+from textloom.llm.neighbours import neighbours
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality
 from textloom.llm.substring import substring_dedup
@@ -52,6 +53,10 @@ FROM d LEFT JOIN left_ USING (doc_id)
 """
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"], min_lines=2)
     return out.select("doc.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -134,6 +139,7 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring": op2_substring,
+    "op3_neighbours": op3_neighbours,
     "op4_lines": op4_lines,
     "op5_quality": op5_quality,
     "op7_chat": op7_chat,
