@@ -11,6 +11,7 @@ from textloom.llm import chat
 from textloom.llm.decontaminate import contamination
 from textloom.llm.labelled import remainder
 from textloom.llm.lines import line_dedup
+from textloom.llm.neardup import near_duplicates
 from textloom.llm.neighbours import neighbours
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality
@@ -81,6 +82,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc.doc_id", F.coalesce(apart("doc.doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc.doc_id", "class_id")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_lines": op4_lines,
     "op5_quality": op5_quality,
+    "op6_neardup": op6_neardup,
     "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_suffixes": op9_suffixes,
