@@ -1,0 +1 @@
+"""Text search and relevance analytics as Spark DataFrame plans."""
