@@ -163,12 +163,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     blocks = 1 + int(volume) // block_bytes
     id_type = bench.schema["item"].dataType.simpleString()
     if blocks == 1:
-        return _pass(None, docs, text, keep, _block(bench.toArrow(), size), id_type)
+        return _pass(None, docs, text, keep, _block(bench.toArrow(), size), id_type).withColumn("items", F.array_distinct("items"))
     out, inner = None, docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("d"), F.col(quoted(text)).alias("t"))
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         out = store.written(_pass(out, inner, "t", ["d", "t"], _block(rows.toArrow(), size), id_type), "contamination")
-    return out.select(F.col("doc.d").alias("doc"), "n_words", "hits", "items")
+    return out.select(F.col("doc.d").alias("doc"), "n_words", "hits", F.array_distinct("items").alias("items"))
 
 
 def _pass(before: DataFrame | None, docs: DataFrame, text: str, keep: list[str], block: Block, id_type: str) -> DataFrame:

@@ -63,8 +63,8 @@ class Index:
                 return
             bits = self.bits
 
-            def merge(key, table: pa.Table) -> pa.Table:
-                b = key[0].as_py()
+            def merge(table: pa.Table) -> pa.Table:
+                b = table.column("bucket")[0].as_py()
                 every, _ = R.merged(R.blobs(table, b, bits))
                 every = every[np.concatenate([[True], every[1:] != every[:-1]])]
                 return pa.table({"bucket": pa.array([b], pa.int32()), "chunk": pa.array([-1], pa.int32()), "data": pa.array([x for _, x in R.encode(every, bits)], pa.binary()), "n": pa.array([len(every)], pa.int64())})
