@@ -12,12 +12,12 @@ Equal texts are one node. Buckets are never expanded into all pairs:
 
 1. Each text is compared with the least text of each of its buckets, and the links found give
    components. A large group of near copies takes one comparison for each text and bucket.
-2. Where a bucket still holds several components, its texts are compared across components, in
-   blocks dealt to different tasks, by their samples first (a link that agrees in fewer than
-   ``least`` samples is practically impossible) and on the texts where those allow a link.
+2. Where a bucket still holds several components, the texts outside its largest are compared with
+   the others, in blocks dealt to different tasks: by their samples first (a link that agrees in
+   fewer than ``least`` samples is practically impossible), then on the texts. Only links that
+   join components are returned, so their number is below that of the texts.
 
-So every link between texts that share a bucket either is verified or joins texts already
-connected. Every document gets the class of its component.
+So every link between texts that share a bucket joins texts of one class. Every document gets the class of its component.
 
 Edge cases: equal texts are duplicates even without any word; null texts are each alone; null ids
 are allowed; repeated rows are rows of the result; an empty table gives an empty result; other
@@ -203,35 +203,82 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
-def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, samples: int, least: int) -> DataFrame:
-    """Pairs of different components in one bucket that agree in ``least`` samples."""
-    named = buckets.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    mixed = mixed.select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows = named.join(mixed, ["band", "value"]).join(sketches.select("node", "sig"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("band", "value", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root", "sig")
-
-    def compare(t: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, samples)
-        node, root, own = (t.column(c).to_numpy() for c in ("node", "root", "own"))
-        cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        a, b = [], []
-        for k in range(len(node)):
-            rest = slice(k + 1, None)
-            other = root[rest] != root[k]
-            if cross:
-                other &= own[rest] != own[k]
-            at = k + 1 + np.flatnonzero(other)
-            if len(at):
-                at = at[(sig[at] == sig[k]).sum(axis=1) >= least]
-                a += [int(node[k])] * len(at)
-                b += node[at].tolist()
-        x, y = np.minimum(a, b) if a else [], np.maximum(a, b) if a else []
-        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
-
-    return rows.groupBy("band", "value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, named: DataFrame, idf: np.ndarray, samples: int, least: int, threshold: float) -> DataFrame:
+    """Links that join different components within a bucket: at most one less than components.
+
+    The texts outside a bucket's largest component are compared with all of the bucket, blocks of
+    the ones with blocks of the others, likeliest pairs first, and a pair already connected is
+    passed over. A pair that shares several buckets is compared in the first band alone.
+    """
+    parts = buckets.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = parts.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = store.written(mixed.select("band", "value", "major", blocks(F.col("n") - F.col("most")).alias("minor_blocks"), blocks(F.col("n")).alias("all_blocks")), "mixed")
+    rows = parts.join(mixed, ["band", "value"])
+    rows = store.written(rows.join(sketches.select("node", "sig", "bands"), "node"), "open")
+    texts = _texts(named, sketches, rows.select("node").distinct())
+    rows = rows.join(texts, "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["node", "root", "sig", "bands", "text"]
+    left = rows.where("root <> major").select(F.col("band").alias("lb"), F.col("value").alias("lv"), deal("minor_blocks").alias("li"), every("all_blocks").alias("lj"), *[F.col(c).alias("l_" + c) for c in columns])
+    right = rows.select("band", "value", deal("all_blocks").alias("j"), every("minor_blocks").alias("i"), *columns)
+
+    def compare(key, x: pa.Table, y: pa.Table) -> pa.Table:
+        band, links = key[0].as_py(), []
+        if x.num_rows and y.num_rows:
+            links = _join_components(band, *_compared(x, "l_", samples), *_compared(y, "", samples), idf, least, threshold)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.groupBy("lb", "lv", "li", "lj").cogroup(right.groupBy("band", "value", "i", "j")).applyInArrow(compare, "a long, b long").distinct()
+
+
+def _compared(t: pa.Table, prefix: str, samples: int):
+    sig = np.frombuffer(b"".join(t.column(prefix + "sig").to_pylist()), np.uint32).reshape(t.num_rows, samples)
+    bands = t.column(prefix + "bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    return t.column(prefix + "node").to_numpy(), t.column(prefix + "root").to_numpy(), sig, bands, t.column(prefix + "text").combine_chunks()
+
+
+def _join_components(band, node, root, sig, bands, texts, node2, root2, sig2, bands2, texts2, idf, least, threshold) -> list[tuple[int, int]]:
+    parent = {int(r): int(r) for r in np.unique(np.concatenate([root, root2]))}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    known: dict[tuple[int, int], tuple] = {}
+
+    def shingles(side: int, i: int):
+        if (side, i) not in known:
+            known[side, i] = _sets((texts, texts2)[side].slice(i, 1), idf)[0]
+        return known[side, i]
+
+    ks, at, score = [], [], []
+    for k in range(len(node)):
+        near = np.flatnonzero(root2 != root[k])
+        agree = (sig2[near] == sig[k]).sum(axis=1)
+        near, agree = near[agree >= least], agree[agree >= least]
+        first = np.argmax(bands2[near] == bands[k], axis=1) == band
+        ks.append(np.full(first.sum(), k)), at.append(near[first]), score.append(agree[first])
+    ks, at, score = np.concatenate(ks), np.concatenate(at), np.concatenate(score)
+    links = []
+    for n in np.argsort(-score, kind="stable"):
+        k, i = int(ks[n]), int(at[n])
+        a, b = find(int(root[k])), find(int(root2[i]))
+        if a != b and similarity(shingles(0, k), shingles(1, i)) >= threshold:
+            parent[a] = b
+            links.append((min(int(node[k]), int(node2[i])), max(int(node[k]), int(node2[i]))))
+    return links
+
+
+def _texts(named: DataFrame, sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``text``, one row for each of the nodes."""
+    own = nodes.join(sketches.select("node", "id"), "node")
+    return named.join(own, ["node", "id"]).dropDuplicates(["node"]).select("node", "text")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: int = LEAST) -> DataFrame:
@@ -247,13 +294,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     buckets = store.written(sketches.select("node", F.posexplode("bands").alias("band", "value")), "buckets")
     shared = buckets.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "value", "a")
     star = store.written(buckets.join(shared, ["band", "value"]).where("a <> node").select("a", F.col("node").alias("b")).distinct(), "star")
-    part_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = lambda pairs: named.join(part_of(pairs), "node", "left_semi").join(sketches.select("node", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", "text")
-    links = store.written(_verify(star, texts(star), idf, threshold), "links")
+    ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = store.written(_verify(star, _texts(named, sketches, ends), idf, threshold), "links")
     comps = components(links)
-    rest = store.written(_across(buckets, sketches, comps, bands * rows, least), "across")
-    if rest.limit(1).count():
-        links = store.written(links.union(_verify(rest, texts(rest), idf, threshold)), "links")
+    more = store.written(_across(buckets, sketches, comps, named, idf, bands * rows, least, threshold), "across")
+    if more.limit(1).count():
+        links = links.union(more)
         comps = components(links)
     classes = comps.join(sketches.select("node", "id"), "node")
     least_id = classes.groupBy("root").agg(F.min("id").alias("class_id"))
