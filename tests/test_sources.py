@@ -20,6 +20,12 @@ def test_documents(spark, tmp_path, packed):
     assert last[2] == ["later"] and last[1] == ["shadowed"]
 
 
+def test_encodings(spark, tmp_path):
+    p = tmp_path / "x.jsonl"
+    p.write_bytes(b'\xef\xbb\xbf{"id": 1, "text": "caf\xc3\xa9"}\n{"id": 2, "text": "caf\xe9 \x80"}\n')
+    assert {r.doc_id: list(r.tokens) for r in readers.documents(spark, str(p)).collect()} == {1: ["caf\u00e9"], 2: ["caf\u00e9", "\u20ac"]}
+
+
 def test_queries_and_runs(spark, tmp_path):
     q = tmp_path / "q.json"
     q.write_text(json.dumps([{"qid": "Q1", "query": "a b"}, {"qid": "Q2", "query": "x\ny"}]))

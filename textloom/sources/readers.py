@@ -12,13 +12,20 @@ _VARIANT = "id string, doc_id string, text string, tokens array<string>"
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``line`` (ascending within a file) and ``value``; gzip by its ending."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    value = decoded(F.col("value").cast("binary"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), value.alias("value"))
+
+
+def _windows_1252() -> tuple[str, str]:
+    """Latin-1's control characters and what Windows-1252 has at their places."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs if c)
 
 
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 without its mark, or as Windows-1252 where they aren't UTF-8."""
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "windows-1252")), "^\\ufeff", "")
+    return F.regexp_replace(F.coalesce(utf8, F.translate(F.decode(content, "ISO-8859-1"), *_windows_1252())), "^\\ufeff", "")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
