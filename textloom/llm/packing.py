@@ -245,7 +245,7 @@ class Packing:
         rows = self.pieces.select(*own, F.col("part").alias("_part"), F.col("length").alias("_length"), F.col("nth").alias("_nth"))
         before = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         base = self.counts.select(F.col("part").alias("_part"), F.col("length").alias("_length"), "n").withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-        ranked = rows.join(base, ["_part", "_length"]).withColumn("_rank", F.col("_nth") + F.col("_base"))
+        ranked = rows.join(base.hint("merge"), ["_part", "_length"]).withColumn("_rank", F.col("_nth") + F.col("_base"))
         ranked = ranked.select(*rows.columns[:-3], "_length", "_rank")
         schema = T.StructType([*ranked.schema.fields[:-2], *T.StructType.fromDDL("sequence_id long, offset long").fields])
 
