@@ -36,8 +36,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs of two lines or more; ``n_chars`` follows."""
-    out = line_dedup(docs, min_lines=2)
+    """Texts without later copies of repeated runs of one line or more; ``n_chars`` follows."""
+    out = line_dedup(docs, min_lines=1)
     blank = F.trim(F.translate("kept", "\n\t\r\x0b\x0c", "     ")) == ""
     out = out.where(~F.coalesce((F.size("removed") > 0) & blank, F.lit(False)))
     new = {"text": F.col("kept")}

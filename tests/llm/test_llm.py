@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -163,6 +164,28 @@ def test_lines(docs, rows, none, least):
     assert some and line_dedup(none).count() == 0
 
 
+def test_pipeline_drops_copies_of_single_lines(spark):
+    """Of each line that isn't blank the first copy is left, also between lines that differ."""
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = ["a\n" + long + "\nb", "c\n" + long + "\n\nd", long, "e", "e", None, "", "f\nf\ng\n" + long]
+    df = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        left = None
+        if t is not None:
+            lines, left = t.split("\n"), []
+            for line in lines:
+                if not line or line not in seen:
+                    left.append(line)
+                seen.add(line)
+            if len(left) < len(lines) and not any(left):
+                continue
+            left = "\n".join(left)
+        want[i] = (left, None if left is None else len(left))
+    assert got == want
+
+
 def test_decontamination(spark, docs, rows, none):
     size = 4
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
