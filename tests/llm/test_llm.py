@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, packing, runs
+from textloom.llm import chat, neardup, packing, runs
 from textloom.llm import kernel as K
 from textloom.llm.decontaminate import contamination
 from textloom.llm.lines import line_dedup
@@ -233,6 +233,18 @@ def test_neardup_chains(spark):
     assert {r.doc.doc_id: r.class_id for r in near_duplicates(df).collect()} == {**{i: 0 for i in range(8)}, 8: 8, 9: 9, 10: 10}
 
 
+def test_neardup_compares_pairs_with_few_samples_alike():
+    """Within a bucket the exact similarity alone decides, however few samples agree."""
+    texts = pa.array([" ".join(f"w{i}" for i in range(n)) for n in (100, 95, 40)])
+    sig = np.arange(3 * 36, dtype=np.uint32).reshape(3, 36)
+    sig[1, :3] = sig[2, :3] = sig[0, :3]
+    bands = np.arange(3 * 12).reshape(3, 12)
+    bands[:, 0] = 7
+    node, idf = np.array([10, 11, 12]), np.ones(1 << neardup.WORD_BITS, np.float32)
+    one = (node, node, sig, bands, texts)
+    assert neardup._join_components(0, *one, *one, idf, 0.8) == [(10, 11)]
+
+
 def test_neighbours(spark):
     g = np.random.default_rng(5)
     x = g.normal(size=(300, 8)).round(3)

@@ -13,9 +13,9 @@ Equal texts are one node. Buckets are never expanded into all pairs:
 1. Each text is compared with the least text of each of its buckets, and the links found give
    components. A large group of near copies takes one comparison for each text and bucket.
 2. Where a bucket still holds several components, the texts outside its largest are compared with
-   the others, in blocks dealt to different tasks: by their samples first (a link that agrees in
-   fewer than ``least`` samples is practically impossible), then on the texts. Only links that
-   join components are returned, so their number is below that of the texts.
+   the others on the texts, in blocks dealt to different tasks, those that agree in the most
+   samples first. Only links that join components are returned, so their number is below that
+   of the texts.
 
 So every link between texts that share a bucket joins texts of one class. Every document gets the class of its component.
 
@@ -35,7 +35,7 @@ from textloom.llm import kernel as K
 from textloom.llm import store
 from textloom.llm.rows import quoted, small_batches
 
-SHINGLE, THRESHOLD, BANDS, ROWS, LEAST = 5, 0.8, 12, 3, 20
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 WORD_BITS, POOL, BLOCK, SALTS = 18, 1 << 12, 1024, 64
 _U = np.uint64
 
@@ -203,7 +203,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
-def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, named: DataFrame, idf: np.ndarray, samples: int, least: int, threshold: float) -> DataFrame:
+def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, named: DataFrame, idf: np.ndarray, samples: int, threshold: float) -> DataFrame:
     """Links that join different components within a bucket: at most one less than components.
 
     The texts outside a bucket's largest component are compared with all of the bucket, blocks of
@@ -228,7 +228,7 @@ def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, named: Da
     def compare(key, x: pa.Table, y: pa.Table) -> pa.Table:
         band, links = key[0].as_py(), []
         if x.num_rows and y.num_rows:
-            links = _join_components(band, *_compared(x, "l_", samples), *_compared(y, "", samples), idf, least, threshold)
+            links = _join_components(band, *_compared(x, "l_", samples), *_compared(y, "", samples), idf, threshold)
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -241,7 +241,7 @@ def _compared(t: pa.Table, prefix: str, samples: int):
     return t.column(prefix + "node").to_numpy(), t.column(prefix + "root").to_numpy(), sig, bands, t.column(prefix + "text").combine_chunks()
 
 
-def _join_components(band, node, root, sig, bands, texts, node2, root2, sig2, bands2, texts2, idf, least, threshold) -> list[tuple[int, int]]:
+def _join_components(band, node, root, sig, bands, texts, node2, root2, sig2, bands2, texts2, idf, threshold) -> list[tuple[int, int]]:
     parent = {int(r): int(r) for r in np.unique(np.concatenate([root, root2]))}
 
     def find(r: int) -> int:
@@ -260,10 +260,8 @@ def _join_components(band, node, root, sig, bands, texts, node2, root2, sig2, ba
     ks, at, score = [], [], []
     for k in range(len(node)):
         near = np.flatnonzero(root2 != root[k])
-        agree = (sig2[near] == sig[k]).sum(axis=1)
-        near, agree = near[agree >= least], agree[agree >= least]
-        first = np.argmax(bands2[near] == bands[k], axis=1) == band
-        ks.append(np.full(first.sum(), k)), at.append(near[first]), score.append(agree[first])
+        near = near[np.argmax(bands2[near] == bands[k], axis=1) == band]
+        ks.append(np.full(len(near), k)), at.append(near), score.append((sig2[near] == sig[k]).sum(axis=1))
     ks, at, score = np.concatenate(ks), np.concatenate(at), np.concatenate(score)
     links = []
     for n in np.argsort(-score, kind="stable"):
@@ -281,7 +279,7 @@ def _texts(named: DataFrame, sketches: DataFrame, nodes: DataFrame) -> DataFrame
     return named.join(own, ["node", "id"]).dropDuplicates(["node"]).select("node", "text")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: ``doc`` (its columns ``keep``), ``class_id`` (the least id of its group),
     ``id`` (its own), and ``component`` (the group, null for a null text)."""
     keep = docs.columns if keep is None else keep
@@ -297,7 +295,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = store.written(_verify(star, _texts(named, sketches, ends), idf, threshold), "links")
     comps = components(links)
-    more = store.written(_across(buckets, sketches, comps, named, idf, bands * rows, least, threshold), "across")
+    more = store.written(_across(buckets, sketches, comps, named, idf, bands * rows, threshold), "across")
     if more.limit(1).count():
         links = links.union(more)
         comps = components(links)
