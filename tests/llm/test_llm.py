@@ -270,6 +270,14 @@ def test_neighbours(spark):
     assert neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Six repeats of a query row don't hide a twin with another id, whose repeats are rows."""
+    rows = [(1, [1.0, 0.0])] * 6 + [(2, [1.0, 0.0])] * 2 + [(3, [1.0, 0.1]), (4, [1.0, 0.2]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours(df, F.col("vec_id") == 1, k=5).collect())
+    assert [v for _, v, _ in got] == [2, 2, 3, 4, 5] and [s for *_, s in got[:2]] == [1.0, 1.0]
+
+
 def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 

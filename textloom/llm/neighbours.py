@@ -7,8 +7,8 @@ trees together, a bit at a time, until the ranges hold enough candidates; those
 exactly on the original vectors. Rows are dealt to blocks of bounded size, each with a forest of
 its own; every block of queries visits every block of rows, and each pair returns its best ``k``.
 
-Of equal vectors only the ``k + 1`` of smallest id can be among anyone's nearest, so others are
-dropped before the exchange; queries are never dropped.
+Of equal vectors only the ``k + 1`` smallest ids, each in at most ``k`` rows, can be among anyone's
+nearest, so others are dropped before the exchange. Queries equal in id and vector are one query.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do rows without an id; vectors are compared with those of their own dimension; repeated ids are
@@ -84,9 +84,10 @@ def neighbours(vectors: DataFrame, query: Column, *, key: str = "vec_id", vector
     v = vectors.select(F.col(quoted(key)).alias("id"), F.transform(F.col(quoted(vector)), lambda x: x.cast("double")).alias("v"), query.alias("q"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
-    twin = Window.partitionBy("v").orderBy("id")
-    rows = v.withColumn("nth", F.row_number().over(twin)).where(F.col("nth") <= k + 1)
-    asked = v.where(F.coalesce("q", F.lit(False)))
+    repeat, twin = Window.partitionBy("v", "id").orderBy("id"), Window.partitionBy("v").orderBy("id")
+    rows = v.withColumn("nth", F.row_number().over(repeat)).where(F.col("nth") <= k)
+    rows = rows.withColumn("nth", F.dense_rank().over(twin)).where(F.col("nth") <= k + 1)
+    asked = v.where(F.coalesce("q", F.lit(False))).dropDuplicates(["id", "v"])
     n, m = v.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
