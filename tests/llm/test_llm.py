@@ -291,6 +291,20 @@ def test_tokens_equal_the_tokenizer():
         assert np.frombuffer(ours(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_added_tokens_equal_the_library_default(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    ours, end = encoder(tokenizer_path(), added=True), "<|endoftext|>"
+    texts = ["ok <|endoftext|> no", end, end + end, f"a{end}b", f" {end} ", f"x \n {end}\n\n y", "<|endoftext|", "plain", f"a  b{end}  c {end[1:]}"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [482, 220, 50256, 645]
+    assert [np.frombuffer(ours(x), "<u4").tolist() for x in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(df, tokenizer=tokenizer_path(), capacity=64, end_id=0).placed("doc", "ids").collect()
+    assert {r.doc.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got} == {i: [*x, 0] for i, x in enumerate(want)}
+
+
 def test_packing(docs, rows, none):
     packed = packing.pack(docs, tokenizer=tokenizer_path(), capacity=64)
     got = packed.placed("doc", "piece", "start", "length", "ids").collect()

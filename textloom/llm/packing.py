@@ -205,7 +205,7 @@ def token_pieces(docs: DataFrame, text: str, keep: list[str], tokenizer: str, ca
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, added=True), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             row, piece, start, ids = [], [], [], []

@@ -2,7 +2,8 @@
 
 Such a tokenizer's pattern never lets a token cross the border before a single space, so a text
 falls apart at its spaces into words that are encoded alike wherever they stand. Texts with a
-space after other white space are encoded whole.
+space after other white space are encoded whole. Where added tokens are asked for, a text is split
+at them first and each gives its own id, as the ``tokenizers`` library does by default.
 """
 
 from __future__ import annotations
@@ -48,18 +49,35 @@ class WordEncoder:
         return start + b"".join([once[w] if w in once else known[w] for w in words[1:]])
 
 
+class AddedTokens:
+    """Splits texts at the added tokens, of several that begin at one place at the longest."""
+
+    def __init__(self, words: WordEncoder, ids: dict[str, int]):
+        self.words = words
+        self.ids = {t: array("I", [i]).tobytes() for t, i in ids.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")").split
+
+    def __call__(self, text: str) -> bytes:
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.words(text)
+        return b"".join([self.ids[x] if i % 2 else self.words(x) for i, x in enumerate(parts) if x])
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """For a tokenizer file in the JSON format of the ``tokenizers`` library."""
+def encoder(path: str, added: bool = False) -> WordEncoder | AddedTokens:
+    """For a tokenizer file in the JSON format of the ``tokenizers`` library; ``added``: the file's
+    added tokens give their own ids, as by the library's default, else they are read as plain text."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    fast = _ranked(spec)
-    if fast:
-        return WordEncoder(fast)
+    fast, tokens = _ranked(spec), spec.get("added_tokens", []) if added else []
+    if fast and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in tokens):
+        words = WordEncoder(fast)
+        return AddedTokens(words, {t["content"]: t["id"] for t in tokens}) if tokens else words
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not added
     out = WordEncoder(lambda s: t.encode(s, add_special_tokens=False).ids)
     out.__class__ = type("WholeTexts", (WordEncoder,), {"__call__": lambda self, text: self.encode(text)})
     return out
