@@ -10,7 +10,7 @@ from textloom.operators.rank import _hash, rank
 from textloom.operators.search import run_rows, search
 from textloom.plans.compile import matches, parse_all
 
-CORPUS = [(10, ["climate", "change"]), (20, ["machine", "learning"]), (30, ["climate", "policy"])]
+CORPUS = [(11, ["amber", "harbor"]), (22, ["silver", "engine"]), (33, ["amber", "valley"])]
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +25,8 @@ def found(index, query):
 @pytest.mark.parametrize(
     ("query", "ids"),
     [
-        ("climate AND change", [10]), ('"machine learning"', [20]), ('"climate"', []), ("climat*", [10, 30]), ("climate NEAR/1 change", [10]), ("climate NEAR/0 change", []),
-        ("climate AND NOT change", [30]), ("machine OR NOT climate", [20]), ("change machine", [10, 20]), ("", []), ("zzz*", []), ("Climate", []), ('"climate" NEAR/3 change', []),
+        ("amber AND harbor", [11]), ('"silver engine"', [22]), ('"amber"', []), ("amb*", [11, 33]), ("amber NEAR/1 harbor", [11]), ("amber NEAR/0 harbor", []),
+        ("amber AND NOT harbor", [33]), ("silver OR NOT amber", [22]), ("harbor silver", [11, 22]), ("", []), ("zzz*", []), ("Amber", []), ('"amber" NEAR/3 harbor', []),
     ],
 )
 def test_queries(index, query, ids):
@@ -34,21 +34,21 @@ def test_queries(index, query, ids):
 
 
 def test_batch_with_errors(index):
-    rows = {r.qid: r for r in run_rows(index, [("a", "climate"), ("b", "NOT climate"), ("c", "zzz")]).collect()}
-    assert sorted(rows["a"].doc_ids) == [10, 30] and rows["b"].error and rows["b"].doc_ids == [] and rows["c"].error is None
+    rows = {r.qid: r for r in run_rows(index, [("a", "amber"), ("b", "NOT amber"), ("c", "zzz")]).collect()}
+    assert sorted(rows["a"].doc_ids) == [11, 33] and rows["b"].error and rows["b"].doc_ids == [] and rows["c"].error is None
 
 
 def test_index_tables(index, spark, tmp_path):
-    assert [r.doc_id for r in index.posting_list("climate").orderBy("doc_id").collect()] == [10, 30]
-    assert index.posting_list(("climate",)).count() == 0
-    assert [r.doc_id for r in index.posting_list(("climate", "policy")).collect()] == [30]
-    assert "climate" in {r.term for r in index.wildcard_terms("$cl").collect()}
+    assert [r.doc_id for r in index.posting_list("amber").orderBy("doc_id").collect()] == [11, 33]
+    assert index.posting_list(("amber",)).count() == 0
+    assert [r.doc_id for r in index.posting_list(("amber", "valley")).collect()] == [33]
+    assert "amber" in {r.term for r in index.wildcard_terms("$am").collect()}
     assert index.wildcard_terms("$").count() == 0
-    assert [r.pos for r in index.positions("climate", 10).collect()] == [0]
+    assert [r.pos for r in index.positions("amber", 11).collect()] == [0]
     assert tuple(index.stats.first()) == (3, 2.0)
     index.save(str(tmp_path / "ix"))
     again = Index.load(spark, str(tmp_path / "ix"))
-    assert found(again, "climat* ".strip()) == [10, 30] and again.chargrams.count() == index.chargrams.count()
+    assert found(again, "amb* ".strip()) == [11, 33] and again.chargrams.count() == index.chargrams.count()
 
 
 def test_near_overlaps_and_same_spans(spark):
@@ -59,28 +59,28 @@ def test_near_overlaps_and_same_spans(spark):
 
 
 def test_rankers(index, spark):
-    q = spark.createDataFrame([("q", "climate change climate")], "qid string, query string")
-    c = matches(index, parse_all([("q", "climate change")]))
+    q = spark.createDataFrame([("q", "amber harbor amber")], "qid string, query string")
+    c = matches(index, parse_all([("q", "amber harbor")]))
     score = {r.doc_id: r.score for r in rank(index, c, q, "bm25").collect()}
     idf = lambda df: math.log((3 - df + 0.5) / (df + 0.5))
-    assert score[30] == pytest.approx(idf(2)) and score[10] == pytest.approx(idf(2) + idf(1))
+    assert score[33] == pytest.approx(idf(2)) and score[11] == pytest.approx(idf(2) + idf(1))
     plus = {r.doc_id: r.score for r in rank(index, c, q, "bm25plus").collect()}
-    assert plus[30] == 0 and plus[10] == pytest.approx(idf(1))
+    assert plus[33] == 0 and plus[11] == pytest.approx(idf(1))
     s1, s2 = math.log(4 / 3) + 1, math.log(4 / 2) + 1
     cos = {r.doc_id: r.score for r in rank(index, c, q, "tfidf").collect()}
-    assert cos[30] == pytest.approx(2 * s1 / math.hypot(2 * s1, s2))
+    assert cos[33] == pytest.approx(2 * s1 / math.hypot(2 * s1, s2))
     hybrid = {r.doc_id: (r.score, r.rank) for r in rank(index, c, q).collect()}
-    assert hybrid[10][1] == 1 and hybrid[10][0] == pytest.approx(1) and hybrid[30][0] == 0
+    assert hybrid[11][1] == 1 and hybrid[11][0] == pytest.approx(1) and hybrid[33][0] == 0
     semantic = rank(index, c, q, "semantic").collect()
-    assert {r.doc_id for r in semantic} == {10, 30}
+    assert {r.doc_id for r in semantic} == {11, 33}
     with pytest.raises(ValueError):
         rank(index, c, q, "other")
 
 
 def test_flat_candidates_fall_back(index):
-    (row,) = search(index, [("q", "machine")]).collect()
+    (row,) = search(index, [("q", "silver")]).collect()
     assert row.score == pytest.approx(math.log(2.5 / 1.5))
-    assert all(r.score == 0 for r in search(index, [("q", "climat*")]).collect())
+    assert all(r.score == 0 for r in search(index, [("q", "amb*")]).collect())
 
 
 def test_hash_values():
@@ -146,3 +146,52 @@ def test_metrics(spark):
     assert metrics.pearson(flat, "x", "y").first().r == 0
     line = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0)], "x double, y double")
     assert metrics.pearson(line, "x", "y").first().r == pytest.approx(1)
+
+
+def test_windows_are_linear_and_computed_once(spark):
+    """The tokens aren't computed anew for each window."""
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(20_000)),)], "text string")
+    out = df.select(F.size(X.word_ngrams(X.light_tokens(F.col("text")), 3)).alias("n"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert out.first().n == 20_000
+
+
+def test_wildcards_of_a_batch_share_one_scan(index):
+    asked = [("a", "am*"), ("b", "*ver"), ("c", "s*r"), ("d", "va*y"), ("e", "ambe*er")]
+    got = {}
+    for r in matches(index, parse_all(asked)).collect():
+        got.setdefault(r.qid, set()).add(r.doc_id)
+    assert got == {"a": {11, 33}, "b": {22}, "c": {22}, "d": {33}}
+
+
+def test_large_batches(index):
+    got = [(r.qid, r.doc_id) for r in matches(index, parse_all([(str(i), "silver") for i in range(230)])).collect()]
+    assert sorted(got) == sorted((str(i), 22) for i in range(230))
+
+
+def test_vectors_lose_no_document(spark):
+    """Documents of unknown words alone stay, with zeros where there is no ``<unk>``."""
+    docs = spark.createDataFrame([(1, ["x"]), (2, ["a", "x"]), (3, ["y", "y"]), (4, [])], "doc_id long, tokens array<string>")
+    v = spark.createDataFrame([("a", [1.0, 2.0])], "word string, vec array<float>")
+    for method, two in (("mean", [0.5, 1.0]), ("sum", [1.0, 2.0]), ("max", [1.0, 2.0]), ("tfidf_weighted", None)):
+        got = {r.doc_id: list(r.vec) for r in embed.document_vectors(docs, v, method).collect()}
+        assert set(got) == {1, 2, 3, 4} and got[1] == got[3] == got[4] == [0.0, 0.0]
+        assert two is None or got[2] == two
+
+
+def test_vocabulary_of_scattered_ids(spark):
+    docs = spark.createDataFrame([((i * 7919) << 40, [f"w{i}", "same"]) for i in range(500)], "doc_id long, tokens array<string>")
+    got = {r.term: r.column for r in features.vocabulary(docs).collect()}
+    assert got["w0"] == 0 and got["same"] == 1 and [got[f"w{i}"] for i in range(1, 500)] == list(range(2, 501))
+
+
+def test_judged_candidates(index, spark):
+    queries = spark.createDataFrame([("q", "amber"), ("z", "silver")], "qid string, query string")
+    rel = spark.createDataFrame([("q", 11, 1.0), ("other", 99, 1.0)], "qid string, doc_id long, rel double")
+    got = sorted((r.qid, r.doc_id) for r in metrics.judged_candidates(index, queries, rel).collect())
+    assert got == [("q", 11), ("z", 11), ("z", 22), ("z", 33)]
+    assert {r.method for r in metrics.compare_rankers(index, queries, rel).collect()} == set(metrics.METHODS)
+    absent = spark.createDataFrame([("q", 99, 1.0)], "qid string, doc_id long, rel double")
+    with pytest.raises(KeyError):
+        metrics.judged_candidates(index, queries, absent)

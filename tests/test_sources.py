@@ -1,8 +1,10 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 
+from textloom import commands
 from textloom.operators.index import Index
 from textloom.operators.search import run_rows
 from textloom.sources import readers, sinks
@@ -45,6 +47,8 @@ def test_queries_and_runs(spark, tmp_path):
     "content",
     [
         {"q": {"5": 2, "6": 0}}, {"qrels": {"q": {"5": "2", "6": "0"}}}, [{"qid": "q", "relevance_scores": {"5": 2, "6": 0}}], [{"qid": "q", "relevance": {"5": 2, "6": 0}}],
+        {"qrels": [{"id": "q", "relevance_scores": {"5": 2, "6": 0}}]}, {"labels": [{"qid_str": "q", "document_id": 5, "label": 2}, {"query_id": "q", "doc": 6, "score": 0}]}, {"x": [{"qid": "q", "relevance": {"5": 2, "6": 0}}]},
+        [{"qid": "q", "docs": [{"doc_id": 5, "grade": 2}, {"document_id": "6"}]}, {"docs": [{"id": 1}]}, 7, {"qid": "q"}], [{"qid": "", "id": "q", "doc_id": 5, "label": 1}, {"id": "q", "doc_id": 5, "label": 2}, {"id": "q", "doc": 6}],
         [{"qid": "q", "docs": [{"doc_id": 5, "grade": 2}, {"id": "6", "rel": 0}]}], [{"qid": "q", "doc_id": 5, "rel": 2}, {"qid": "q", "doc_id": 6, "rel": 0}],
     ],
 )
@@ -54,6 +58,45 @@ def test_judgments(spark, tmp_path, content):
     assert sorted(tuple(r) for r in readers.judgments(spark, str(p)).collect()) == [("q", 5, 2.0), ("q", 6, 0.0)]
 
 
+def test_malformed_judgments(spark, tmp_path):
+    p = tmp_path / "j.json"
+    p.write_text(json.dumps([{"qid": "q", "doc_id": "x", "rel": 1}, {"qid": "q", "doc_id": 5, "rel": "y"}, {"qid": "q", "doc_id": 6, "rel": 1}]))
+    assert [tuple(r) for r in readers.judgments(spark, str(p), strict=False).collect()] == [("q", 6, 1.0)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        readers.judgments(spark, str(p)).collect()
+    p.write_text(json.dumps({"q": 3}))
+    with pytest.raises(Exception, match="unknown shape"):
+        readers.judgments(spark, str(p)).collect()
+
+
+def test_unknown_word_is_added(spark, tmp_path):
+    p = tmp_path / "v.txt"
+    p.write_text("the 0.5 1\ncat 1 2\n")
+    got = {r.word: list(r.vec) for r in readers.word_vectors(spark, str(p)).collect()}
+    want = np.random.default_rng(42).normal(0, 0.05, 2).astype(np.float32).tolist()
+    assert got == {"the": [0.5, 1.0], "cat": [1.0, 2.0], "<unk>": want}
+    p.write_text("the 0.5 1\n<unk> 1 2\n")
+    assert sorted(r.word for r in readers.word_vectors(spark, str(p)).collect()) == ["<unk>", "the"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    at = {n: str(tmp_path / n) for n in ("q.json", "d.jsonl", "j.json", "bad.json")}
+    (tmp_path / "q.json").write_text(json.dumps([{"qid": "a", "query": "cat"}, {"qid": "b", "query": "NOT cat"}, {"qid": "c", "query": "zz"}]))
+    (tmp_path / "d.jsonl").write_text("\n".join(json.dumps({"id": i, "text": t}) for i, t in ((1, "a cat"), (2, "a dog"), (3, "cat cat"))))
+    (tmp_path / "j.json").write_text(json.dumps({"a": {"1": 1, "2": 0}, "c": {"2": 1}}))
+    (tmp_path / "bad.json").write_text('{"no": "run"}')
+    run = str(tmp_path / "runs" / "r.json")
+    assert commands.search(spark, at["q.json"], at["d.jsonl"], run, "bm25") == 0
+    assert "b is malformed" in capsys.readouterr().err
+    rows = json.loads((tmp_path / "runs" / "r.json").read_text())
+    assert [r["qid"] for r in rows] == ["a", "b", "c"] and sorted(rows[0]["doc_ids"]) == [1, 3] and rows[1]["results"] == rows[2]["results"] == []
+    assert commands.search(spark, at["bad.json"], at["d.jsonl"], run) == 1
+    assert commands.evaluate(spark, at["j.json"], [at["bad.json"], run]) == 0
+    out = capsys.readouterr()
+    assert "skipped" in out.err and out.out.splitlines()[1].split("\t")[0] == "r.json"
+    assert commands.evaluate(spark, at["j.json"], []) == 2
+
+
 def test_plain_text_sources(spark, tmp_path):
     p = tmp_path / "x.txt"
     p.write_text("Q1 0 5 2\nQ1 0 6 0\n")
@@ -61,4 +104,4 @@ def test_plain_text_sources(spark, tmp_path):
     p.write_text("Q1: 5 6\nQ2 7\n")
     assert [tuple(r) for r in readers.trec_lists(spark, str(p)).collect()] == [("Q1", 5, 1), ("Q1", 6, 2), ("Q2", 7, 1)]
     p.write_text("the 0.5 1\nbad x 1\n\ncat 1 2\n")
-    assert [(r.word, list(r.vec)) for r in readers.word_vectors(spark, str(p), 2).collect()] == [("the", [0.5, 1.0]), ("cat", [1.0, 2.0])]
+    assert [(r.word, list(r.vec)) for r in readers.word_vectors(spark, str(p), 2).where("word <> '<unk>'").collect()] == [("the", [0.5, 1.0]), ("cat", [1.0, 2.0])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,12 +22,25 @@ def light_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SPACE), lambda w: w != "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is computed once, however often ``use`` reads it.
+
+    A lambda that closes over an expression computes it anew for each element; a lambda's own
+    variable is computed.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def windows(tokens: Column, n: int) -> Column:
     """All runs of ``n`` elements in order, empty if there are fewer."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<array<string>>"))
+
+    def runs(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<array<string>>"))
+
+    return bound(tokens, runs)
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
@@ -40,12 +54,11 @@ def char_ngrams(text: Column, n: int) -> Column:
         raise ValueError("n must be at least 1")
     words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
-    def grams(w: Column) -> Column:
-        padded = F.concat(F.lit("$"), w, F.lit("$"))
+    def grams(padded: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.char_length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
         return F.when(F.char_length(padded) >= n, each).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(words, grams))
+    return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit("$"), w, F.lit("$"))), grams))
 
 
 def sorted_distinct(values: Column) -> Column:

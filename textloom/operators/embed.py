@@ -1,58 +1,66 @@
 """Document vectors pooled from word vectors.
 
-``vectors(word, vec)`` must hold the unknown word ``<unk>``, which stands for words it lacks. All
-pooling is by (document, dimension), partially aggregated before the shuffle.
+``vectors(word, vec)`` should hold the unknown word ``<unk>``, which stands for words it lacks;
+without it they count as zeros. A document's words are counted, joined once with their vectors,
+and summed in one aggregate for each dimension, with partial sums before the shuffle. Documents
+without words get zeros, and no document is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METHODS = ("mean", "max", "sum", "meanmax", "tfidf_weighted")
 UNKNOWN = "<unk>"
 
 
-def mapped(docs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``doc_id``, ``dl`` and ``word`` of every token, words without a vector as ``<unk>``."""
-    words = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("word"))
-    known = vectors.select("word", F.lit(1).alias("known"))
-    words = words.join(known, "word", "left")
-    return words.select("doc_id", "dl", F.when(F.col("known").isNull(), F.lit(UNKNOWN)).otherwise(F.col("word")).alias("word"))
+def _array(values: list[Column]) -> Column:
+    return F.array(*values).cast("array<double>")
 
 
-def pooled(docs: DataFrame, vectors: DataFrame, method: str = "mean") -> DataFrame:
-    """``doc_id``, ``dim`` and ``value`` in long form, zeros for documents without words."""
+def _vectors(docs: DataFrame, vectors: DataFrame, method: str) -> DataFrame:
+    """``doc_id`` and ``vec`` (doubles)."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    counts = mapped(docs, vectors).groupBy("doc_id", "dl", "word").agg(F.count("*").alias("tf"))
-    if method == "tfidf_weighted":
+    width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    unknown = vectors.where(F.col("word") == UNKNOWN).select(F.col("vec").cast("array<double>")).first()
+    unk = [F.lit(float(x)) for x in (unknown[0] if unknown else [0.0] * width)]
+    words = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("word"))
+    counts = words.groupBy("doc_id", "dl", "word").agg(F.count("word").cast("double").alias("tf"))
+    known = vectors.where(F.col("word") != UNKNOWN).select("word", F.col("vec").cast("array<double>").alias("vec"))
+    weighted = method == "tfidf_weighted"
+    if weighted:
+        known = known.join(counts.groupBy("word").agg(F.count("*").alias("df")), "word")
+    rows = counts.join(known, "word", "left")
+    x = [F.get("vec", F.lit(i)) for i in range(width)]
+    strange, tf = F.col("vec").isNull(), F.col("tf")
+    if weighted:
         n = docs.agg(F.count("*").alias("n"))
-        df = counts.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("word", F.ln(F.col("n") / F.col("df")).alias("idf"))
-        counts = counts.join(df, "word").withColumn("w", F.col("tf") * (F.col("tf") / F.col("dl")) * F.col("idf"))
-    else:
-        counts = counts.withColumn("w", F.col("tf").cast("double"))
-    cells = counts.join(vectors, "word").select("doc_id", "w", F.posexplode("vec").alias("dim", "x"))
-    x = F.col("x").cast("double")
-    sums, total = F.sum(F.col("w") * x), F.sum("w")
-    by = cells.groupBy("doc_id", "dim")
-    if method in ("mean", "tfidf_weighted"):
-        out = by.agg(F.when(total == 0, 0.0).otherwise(sums / F.when(total == 0, 1.0).otherwise(total)).alias("value"))
-    elif method == "max":
-        out = by.agg(F.max(x).alias("value"))
-    elif method == "sum":
-        out = by.agg(sums.alias("value"))
-    else:
-        both = by.agg((sums / total).alias("mean"), F.max(x).alias("top"))
-        width = vectors.agg(F.max(F.size("vec")).alias("width"))
-        out = both.join(F.broadcast(width)).select("doc_id", F.explode(F.array(F.struct(F.col("dim"), F.col("mean").alias("value")), F.struct((F.col("dim") + F.col("width")).alias("dim"), F.col("top").alias("value")))).alias("c")).select("doc_id", "c.dim", "c.value")
-    width = vectors.agg(F.max(F.size("vec")).alias("width"))
-    scale = 2 if method == "meanmax" else 1
-    empty = docs.where(F.size("tokens") == 0).select("doc_id").join(F.broadcast(width)).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("width") * scale - 1)).alias("dim"), F.lit(0.0).alias("value"))
-    return out.unionByName(empty)
+        w = F.when(strange, 0.0).otherwise(tf * tf / F.col("dl") * F.ln(F.col("n") / F.col("df")))
+        sums = [F.sum(w * F.coalesce(v, F.lit(0.0))).alias(f"s{i}") for i, v in enumerate(x)]
+        out = rows.join(F.broadcast(n)).groupBy("doc_id", "dl", "n").agg(*sums, F.sum(w).alias("w"), F.sum(F.when(strange, tf).otherwise(0.0)).alias("u"))
+        df = out.agg(F.count_if(F.col("u") > 0).alias("unknown_df"))
+        out = out.join(F.broadcast(df))
+        own = F.when(F.col("u") > 0, F.col("u") * F.col("u") / F.col("dl") * F.ln(F.col("n") / F.col("unknown_df"))).otherwise(0.0)
+        out = out.select("doc_id", _array([F.col(f"s{i}") for i in range(width)]).alias("s"), own.alias("own"), (F.col("w") + own).alias("total"))
+        each = F.zip_with("s", F.array(*unk), lambda s, u: F.when(F.col("total") == 0, 0.0).otherwise((s + F.col("own") * u) / F.col("total")))
+        return out.select("doc_id", each.alias("vec"))
+    x = [F.coalesce(v, u) for v, u in zip(x, unk)]
+    sums = [F.sum(tf * v).alias(f"s{i}") for i, v in enumerate(x)] if method != "max" else []
+    tops = [F.max(F.when(tf > 0, v)).alias(f"m{i}") for i, v in enumerate(x)] if "max" in method else []
+    out = rows.groupBy("doc_id").agg(*sums, *tops, F.sum("tf").alias("n"))
+    mean = [F.when(F.col("n") > 0, F.col(f"s{i}") / F.col("n")).otherwise(0.0) for i in range(width)]
+    top = [F.coalesce(f"m{i}", F.lit(0.0)) for i in range(width)]
+    each = {"mean": lambda: mean, "sum": lambda: [F.col(f"s{i}") for i in range(width)], "max": lambda: top, "meanmax": lambda: mean + top}[method]()
+    return out.select("doc_id", _array(each).alias("vec"))
+
+
+def pooled(docs: DataFrame, vectors: DataFrame, method: str = "mean") -> DataFrame:
+    """``doc_id``, ``dim`` and ``value`` in long form."""
+    return _vectors(docs, vectors, method).select("doc_id", F.posexplode("vec").alias("dim", "value"))
 
 
 def document_vectors(docs: DataFrame, vectors: DataFrame, method: str = "mean") -> DataFrame:
     """``doc_id`` and ``vec``."""
-    cells = pooled(docs, vectors, method).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("c"))
-    return cells.select("doc_id", F.transform("c", lambda c: c["value"].cast("float")).alias("vec"))
+    return _vectors(docs, vectors, method).select("doc_id", F.col("vec").cast("array<float>").alias("vec"))

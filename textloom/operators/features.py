@@ -4,27 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MODES = ("raw", "log", "bm25")
+MODES, RANGES = ("raw", "log", "bm25"), 128
 
 
 def vocabulary(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """``term`` and ``column``: places by first occurrence, documents in order of ``order``.
 
     The place is a count of the first occurrences before it: within a document by a window, and
-    over documents by running sums of their numbers of new terms, in two levels of groups of
-    documents, so no single task sorts the whole vocabulary.
+    over documents by running sums of their numbers of new terms, in ranges of documents that
+    hold about as many each, so no task sorts the whole vocabulary, whatever the ids are.
     """
     at = docs.select(F.col(order).alias("doc"), F.posexplode("tokens").alias("pos", "term"))
     first = at.groupBy("term").agg(F.min(F.struct("doc", "pos")).alias("at")).select("term", "at.doc", "at.pos")
     inside = first.withColumn("nth", F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1)
-    new = first.groupBy("doc").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("doc") / 10_000))
-    in_group = Window.partitionBy("group").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
-    new = new.withColumn("before", F.coalesce(F.sum("n").over(in_group), F.lit(0)))
-    totals = new.groupBy("group").agg(F.sum("n").alias("total"))
-    over = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("group", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("base"))
-    new = new.join(totals, "group").select("doc", (F.col("base") + F.col("before")).alias("base"))
+    new = first.groupBy("doc").agg(F.count("*").alias("n"))
+    ends = docs.agg(F.percentile_approx(F.col(order), [i / RANGES for i in range(1, RANGES)], 50 * RANGES)).first()[0] or []
+    ends = F.array(*[F.lit(x) for x in sorted(set(ends))]).cast(T.ArrayType(docs.schema[order].dataType))
+    new = new.withColumn("range", F.size(F.filter(ends, lambda x: x <= F.col("doc"))))
+    before = Window.partitionBy("range").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    totals = new.groupBy("range").agg(F.sum("n").alias("total"))
+    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("base"))
+    new = new.join(totals, "range").select("doc", (F.col("base") + F.col("before")).alias("base"))
     return inside.join(new, "doc").select("term", (F.col("base") + F.col("nth")).cast("long").alias("column"))
 
 

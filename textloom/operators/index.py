@@ -25,15 +25,16 @@ MAX_GRAM = 3
 
 
 def tokenised(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``tokens`` and ``dl`` of a table of texts; of equal ids one row is kept."""
-    d = documents.select(F.col(key).cast("long").alias("doc_id"), X.light_tokens(F.col(text)).alias("tokens"))
-    return d.dropDuplicates(["doc_id"]).withColumn("dl", F.size("tokens").cast("long"))
+    """``doc_id``, ``tokens`` and ``dl`` of a table of texts; of equal ids the least text counts."""
+    d = documents.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.min(F.col(text).cast("string")).alias("text"))
+    return d.select("doc_id", X.light_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
 
 
 def of_tokens(documents: DataFrame) -> DataFrame:
     """The same from ``doc_id`` and given ``tokens``; null tokens are left out."""
     tokens = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda w: w.isNotNull())
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.alias("tokens")).dropDuplicates(["doc_id"]).withColumn("dl", F.size("tokens").cast("long"))
+    d = documents.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(tokens).alias("tokens"))
+    return d.withColumn("dl", F.size("tokens").cast("long"))
 
 
 @dataclass
@@ -101,8 +102,20 @@ class Index:
             return self.postings.where(F.col("term") == key).select("doc_id")
         if not 2 <= len(key) <= MAX_GRAM:
             return self.docs.where(F.lit(False)).select("doc_id")
-        words = F.array(*[F.lit(w) for w in key])
-        return self.docs.where(F.exists(X.windows(F.col("tokens"), len(key)), lambda g: g == words)).select("doc_id")
+        return self.spans([(0, i, w) for i, w in enumerate(key)]).select("doc_id")
+
+    def spans(self, slots: list[tuple[int, int, str]], only: Column | None = None) -> DataFrame:
+        """``operand``, ``doc_id`` and ``starts`` of runs of words given as (operand, place, word):
+        the postings of those words alone, their positions intersected within a document."""
+        words = self.docs.sparkSession.createDataFrame(slots, "operand int, place int, term string")
+        size = F.broadcast(words.groupBy("operand").agg(F.count("*").alias("size")))
+        rows = self.postings.where(F.col("term").isin(sorted({w for _, _, w in slots})))
+        found = (rows if only is None else rows.where(only)).join(F.broadcast(words), "term")
+        shifted = F.transform("positions", lambda p: p - F.col("place"))
+        per_doc = found.select("operand", "doc_id", shifted.alias("starts")).groupBy("operand", "doc_id").agg(F.collect_list("starts").alias("all"))
+        per_doc = per_doc.join(size, "operand").where(F.size("all") == F.col("size"))
+        starts = F.array_sort(F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], F.array_intersect))
+        return per_doc.select("operand", "doc_id", starts.alias("starts")).where(F.size("starts") > 0)
 
     def wildcard_terms(self, gram: str) -> DataFrame:
         return self.chargrams.where(F.col("gram") == gram).select("term")
@@ -112,11 +125,27 @@ class Index:
         if isinstance(key, str):
             found = self.postings.where((F.col("term") == key) & (F.col("doc_id") == doc_id))
             return found.select(F.explode("positions").alias("pos"))
-        words = F.array(*[F.lit(w) for w in key])
         if not 2 <= len(key) <= MAX_GRAM:
             return self.docs.where(F.lit(False)).select(F.lit(0).alias("pos"))
-        d = self.docs.where(F.col("doc_id") == doc_id)
-        return d.select(F.posexplode(X.windows(F.col("tokens"), len(key))).alias("pos", "gram")).where(F.col("gram") == words).select("pos")
+        return self.spans([(0, i, w) for i, w in enumerate(key)], F.col("doc_id") == doc_id).select(F.explode("starts").alias("pos"))
+
+
+class Stored(Index):
+    """An index whose tables are written under ``path`` when they are first asked for, in ranges
+    of their keys, and read from there after that."""
+
+    def __init__(self, documents: DataFrame, path: str):
+        self.path, self.spark = path, documents.sparkSession
+        super().__init__(self._kept("docs", documents))
+
+    def _kept(self, name: str, df: DataFrame, *keys: str) -> DataFrame:
+        (_sorted(df, *keys) if keys else df).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    postings = cached_property(lambda self: self._kept("postings", Index.postings.func(self), "term", "doc_id"))
+    terms = cached_property(lambda self: self._kept("terms", Index.terms.func(self), "term"))
+    stats = cached_property(lambda self: self._kept("stats", Index.stats.func(self)))
+    chargrams = cached_property(lambda self: self._kept("chargrams", Index.chargrams.func(self), "gram", "term"))
 
 
 def _sorted(df: DataFrame, *keys: str) -> DataFrame:

@@ -5,9 +5,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.index import Index
+from textloom.operators.rank import METHODS, rank
+from textloom.sources import readers
+
 
 def _deduped(run: DataFrame) -> DataFrame:
     """Each document at its first place, places counted anew."""
@@ -52,6 +56,18 @@ def leaderboard(runs: dict[str, DataFrame], qrels: DataFrame, k: int = 10) -> Da
     return out.orderBy(F.desc("map"), "run")
 
 
+def leaderboard_of_files(spark: SparkSession, paths: list[str], qrels: DataFrame, k: int = 10) -> tuple[DataFrame, dict[str, str]]:
+    """The leaderboard of run files by name, and the files skipped, each with what is wrong."""
+    found, skipped = [], {}
+    for path in paths:
+        try:
+            found.append((path.rstrip("/").rsplit("/", 1)[-1], *summary(readers.runs(spark, path), qrels, k).first()))
+        except Exception as e:  # noqa: BLE001 - whatever is wrong with one file, the others count
+            skipped[path] = (str(e).strip().splitlines() or [type(e).__name__])[0]
+    board = spark.createDataFrame(found, "run string, map double, mrr double, n_queries long, n_covered long")
+    return board.orderBy(F.desc("map"), "run"), skipped
+
+
 def pearson(pairs: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """``keys`` and ``r`` over all pairs; 0 for fewer than two pairs or no variance."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
@@ -63,6 +79,29 @@ def pearson(pairs: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return sums.select(*keys, F.coalesce(r, F.lit(0.0)).alias("r"))
 
 
+def judged_candidates(index: Index, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``qid`` and ``doc_id``: a query's judged documents, or all for a query without any.
+
+    A judged document that isn't in the index is an error.
+    """
+    asked = queries.select("qid").distinct()
+    judged = qrels.join(asked, "qid", "left_semi").select("qid", "doc_id").distinct()
+    absent = judged.join(index.docs, "doc_id", "left_anti").first()
+    if absent:
+        raise KeyError(f"document {absent.doc_id}, judged for {absent.qid}, isn't in the index")
+    bare = [r.qid for r in asked.join(judged, "qid", "left_anti").collect()]
+    if not bare:
+        return judged
+    every = index.docs.select(F.explode(F.array(*[F.lit(q) for q in bare])).alias("qid"), "doc_id")
+    return judged.unionByName(every)
+
+
+def compare_rankers(index: Index, queries: DataFrame, qrels: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """``method`` and ``r`` over the judged candidates of all queries, best first."""
+    candidates = judged_candidates(index, queries, qrels)
+    return compare_methods({m: rank(index, candidates, queries, m) for m in methods}, qrels)
+
+
 def compare_methods(scored: dict[str, DataFrame], qrels: DataFrame) -> DataFrame:
     """``method`` and Pearson's ``r`` of its scores with the grades (0 where not judged), best first."""
     grades = qrels.select("qid", "doc_id", F.col("rel").cast("double"))

@@ -21,8 +21,8 @@ from textloom.operators.index import Index
 METHODS = ("bm25", "bm25plus", "tfidf", "hybrid", "semantic")
 DEFAULT = "hybrid"
 BUDGET, DEPTH, DIM = 20, 10, 256
-#: Places to which min-max channels are rounded, against noise of the last bits.
-DIGITS = 9
+#: Scores that differ by less are equal: the last bits of a sum depend on how it was summed.
+NOISE, DIGITS = 1e-12, 10
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -77,19 +77,16 @@ def channels(index: Index, candidates: DataFrame, queries: DataFrame) -> DataFra
     return out.select("qid", "doc_id", F.coalesce("bm25", zero).alias("bm25"), F.coalesce("bm25plus", zero).alias("bm25plus"), cosine.alias("tfidf"))
 
 
-def min_max(x: Column) -> Column:
-    """To 0..1 within each query; 0 where all are equal."""
-    w = Window.partitionBy("qid")
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(high == low, 0.0).otherwise((x - low) / (high - low))
-
-
 def _hybrid(c: DataFrame) -> DataFrame:
-    c = c.withColumns({"plus": F.round("bm25plus", DIGITS), "cos": F.round("tfidf", DIGITS)})
-    c = c.withColumns({"a": min_max(F.col("plus")), "b": min_max(F.col("cos"))})
-    w = Window.partitionBy("qid")
-    flat = (F.max("a").over(w) == 0) & (F.max("b").over(w) == 0)
-    return c.select("qid", "doc_id", F.when(flat, F.col("bm25plus")).otherwise(0.8 * F.col("a") + 0.2 * F.col("b")).alias("score"))
+    """Both channels scaled to 0..1 over a query's candidates, 0 where they are all equal; the raw
+    BM25 scores where both are."""
+    ends = c.groupBy("qid").agg(*[f(x).alias(f"{n}_{x}") for x in ("bm25plus", "tfidf") for n, f in (("low", F.min), ("high", F.max))])
+    c = c.join(ends, "qid")
+    low, high = (lambda x: F.col(f"low_{x}")), (lambda x: F.col(f"high_{x}"))
+    even = lambda x: high(x) - low(x) <= NOISE * F.greatest(F.lit(1.0), F.abs(high(x)))
+    scaled = lambda x: F.when(even(x), 0.0).otherwise((F.col(x) - low(x)) / (high(x) - low(x)))
+    score = F.when(even("bm25plus") & even("tfidf"), F.col("bm25plus")).otherwise(0.8 * scaled("bm25plus") + 0.2 * scaled("tfidf"))
+    return c.select("qid", "doc_id", score.alias("score"))
 
 
 def _hash(text: str) -> int:
@@ -116,7 +113,8 @@ def hash_vectors(words: DataFrame, *keys: str) -> DataFrame:
 def _semantic(index: Index, c: DataFrame, queries: DataFrame) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("bm25plus"), "doc_id")
     short = c.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BUDGET).select("qid", "doc_id")
-    words = index.postings.select("doc_id", "term", "tf").join(F.broadcast(short.select("doc_id").distinct()), "doc_id")
+    texts = index.docs.select("doc_id", "tokens").join(short.select("doc_id").distinct(), "doc_id")
+    words = texts.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     q = query_terms(queries).select("qid", "term", F.col("qtf").alias("tf"))
     d = hash_vectors(words, "doc_id").withColumnRenamed("val", "dv")
     dot = short.join(hash_vectors(q, "qid"), "qid").join(d, ["doc_id", "idx"]).groupBy("qid", "doc_id").agg(F.sum(F.col("val") * F.col("dv")).alias("cos"))

@@ -9,6 +9,7 @@ table of all documents. Leaf tables are made on the driver from the queries alon
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,31 +37,20 @@ def parse_all(queries: list[tuple[str, str]]) -> list[Parsed]:
     return out
 
 
-def _spans(index: Index, slots: list[tuple[int, int, str]]) -> DataFrame:
-    """``operand``, ``doc_id`` and ``starts`` of operands given as (operand, place, word) rows."""
-    spark = index.docs.sparkSession
-    words = spark.createDataFrame(slots, "operand int, place int, term string")
-    size = F.broadcast(words.groupBy("operand").agg(F.count("*").alias("size")))
-    found = index.postings.where(F.col("term").isin(sorted({w for _, _, w in slots}))).join(F.broadcast(words), "term")
-    shifted = F.transform("positions", lambda p: p - F.col("place"))
-    per_doc = found.select("operand", "doc_id", shifted.alias("starts")).groupBy("operand", "doc_id").agg(F.collect_list("starts").alias("all"))
-    per_doc = per_doc.join(size, "operand").where(F.size("all") == F.col("size"))
-    return per_doc.select("operand", "doc_id", F.array_sort(F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], F.array_intersect)).alias("starts")).where(F.size("starts") > 0)
-
-
 def _term_leaves(index: Index, rows: list[tuple[int, str]]) -> DataFrame:
     names = index.docs.sparkSession.createDataFrame(rows, "leaf int, term string")
     return index.postings.where(F.col("term").isin(sorted({t for _, t in rows}))).join(F.broadcast(names), "term").select("leaf", "doc_id")
 
 
 def _wild_leaves(index: Index, rows: list[tuple[int, Wild]]) -> DataFrame:
-    out = None
-    for leaf, w in rows:
-        # A range of the sorted terms by the prefix; prefix and suffix may not overlap.
-        fits = F.col("term").startswith(w.left) & F.col("term").endswith(w.right) & (F.char_length("term") >= len(w.left) + len(w.right))
-        part = index.postings.where(fits).select(F.lit(leaf).alias("leaf"), "doc_id").distinct()
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The vocabulary's terms that fit any of the patterns, then one join with the postings."""
+    names = index.docs.sparkSession.createDataFrame([(n, w.left, w.right) for n, w in rows], "leaf int, left string, right string")
+    term, left, right = F.col("term"), F.col("left"), F.col("right")
+    # Literal patterns reach the scan; prefix and suffix may not overlap.
+    some = reduce(lambda a, b: a | b, [term.startswith(w.left) & term.endswith(w.right) for _, w in rows])
+    fits = term.startswith(left) & term.endswith(right) & (F.char_length(term) >= F.char_length(left) + F.char_length(right))
+    words = index.terms.select("term").where(some).join(F.broadcast(names), fits).select("leaf", "term")
+    return index.postings.select("term", "doc_id").join(words, "term").select("leaf", "doc_id").distinct()
 
 
 def wildcard_by_grams(index: Index, w: Wild) -> DataFrame:
@@ -85,7 +75,7 @@ def _near_leaves(index: Index, rows: list[tuple[int, Near]]) -> DataFrame | None
         meta.append((leaf, len(sides[0]), len(sides[1]), near.distance))
     if not meta:
         return None
-    spans = _spans(index, slots)
+    spans = index.spans(slots)
     side = lambda k: spans.where(F.col("operand") % 2 == k).select((F.col("operand") / 2).cast("int").alias("leaf"), "doc_id", F.col("starts").alias(f"s{k}"))
     pairs = side(0).join(side(1), ["leaf", "doc_id"]).join(F.broadcast(index.docs.sparkSession.createDataFrame(meta, "leaf int, m0 int, m1 int, k int")), "leaf")
 
@@ -99,8 +89,17 @@ def _near_leaves(index: Index, rows: list[tuple[int, Near]]) -> DataFrame | None
     return pairs.where(F.exists("s0", close)).select("leaf", "doc_id")
 
 
+#: Queries in one predicate; larger batches are a union of such plans.
+BATCH = 100
+
+
 def matches(index: Index, parsed: list[Parsed]) -> DataFrame:
     """``qid`` and ``doc_id`` of every query's documents."""
+    parts = [_matches(index, parsed[i : i + BATCH]) for i in range(0, max(1, len(parsed)), BATCH)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _matches(index: Index, parsed: list[Parsed]) -> DataFrame:
     spark: SparkSession = index.docs.sparkSession
     number: dict[tuple[int, object], int] = {}
     for k, p in enumerate(parsed):
@@ -111,7 +110,7 @@ def matches(index: Index, parsed: list[Parsed]) -> DataFrame:
     if terms := kind(Term):
         found.append(_term_leaves(index, [(n, t.word) for n, t in terms]))
     if phrases := [(n, p) for n, p in kind(Phrase) if len(p.words) > 1]:
-        found.append(_spans(index, [(n, i, w) for n, p in phrases for i, w in enumerate(p.words)]).select(F.col("operand").alias("leaf"), "doc_id"))
+        found.append(index.spans([(n, i, w) for n, p in phrases for i, w in enumerate(p.words)]).select(F.col("operand").alias("leaf"), "doc_id"))
     if wilds := kind(Wild):
         found.append(_wild_leaves(index, wilds))
     if (nears := kind(Near)) and (near := _near_leaves(index, nears)) is not None:

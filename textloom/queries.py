@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +10,18 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import embed, features, metrics
-from textloom.operators.index import Index, build
+from textloom.operators.index import Index, Stored, tokenised
 from textloom.operators.rank import hash_vectors, query_terms, rank, top
 from textloom.operators.search import search
 from textloom.plans.compile import matches, parse_all, wildcard_by_grams
 from textloom.plans.parser import Wild
+from textloom.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_indexes: dict[tuple[str, str], Index] = {}
+_indexes: dict[tuple[str, str], Stored] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of ``documents``, its tables kept for the queries of one session."""
+    """The index of ``documents``; each of its tables is written once in an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        _indexes[key] = build(table(spark, sf_dir, "documents")).cached()
+        _indexes[key] = Stored(tokenised(table(spark, sf_dir, "documents")), scratch(spark, "index", sf_dir))
     return _indexes[key]
 
 
+def scratch(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """A folder of this application's own for the files that a query writes and reads back."""
+    place = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}/{place}/{name}"
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -213,12 +221,12 @@ q AS (SELECT v.*, coalesce(df, 0) AS df, n, avgdl, ln((n + 1) / CAST(coalesce(df
 qn AS (SELECT qid, sqrt(sum(power(qtf * smooth, 2))) AS qn FROM q GROUP BY qid), c AS ({candidates}),
 h AS (SELECT qid, doc_id, {bm25("idf", "12e-1", "75e-2")} AS bm25, {bm25("greatest(0e0, idf)", "14e-1", "7e-1")} AS bm25plus, sum(qtf * smooth * tf * smooth) AS dot, sqrt(sum(power(tf * smooth, 2))) AS dn
   FROM c JOIN q USING (qid) JOIN tf USING (doc_id, term) JOIN l USING (doc_id) GROUP BY qid, doc_id),
-s AS (SELECT qid, doc_id, coalesce(bm25, 0e0) AS bm25, coalesce(bm25plus, 0e0) AS bm25plus, coalesce(dot / (qn * dn), 0e0) AS tfidf, round(coalesce(bm25plus, 0e0), 9) AS pl, round(coalesce(dot / (qn * dn), 0e0), 9) AS co
+s AS (SELECT qid, doc_id, coalesce(bm25, 0e0) AS bm25, coalesce(bm25plus, 0e0) AS bm25plus, coalesce(dot / (qn * dn), 0e0) AS tfidf, coalesce(bm25plus, 0e0) AS pl, coalesce(dot / (qn * dn), 0e0) AS co
   FROM c LEFT JOIN h USING (qid, doc_id) LEFT JOIN qn USING (qid)),
-m AS (SELECT *, CASE WHEN max(pl) OVER w = min(pl) OVER w THEN 0e0 ELSE (pl - min(pl) OVER w) / (max(pl) OVER w - min(pl) OVER w) END AS a,
-  CASE WHEN max(co) OVER w = min(co) OVER w THEN 0e0 ELSE (co - min(co) OVER w) / (max(co) OVER w - min(co) OVER w) END AS b FROM s WINDOW w AS (PARTITION BY qid)),
+m AS (SELECT *, CASE WHEN max(pl) OVER w - min(pl) OVER w < 1e-11 THEN 0e0 ELSE (pl - min(pl) OVER w) / (max(pl) OVER w - min(pl) OVER w) END AS a,
+  CASE WHEN max(co) OVER w - min(co) OVER w < 1e-11 THEN 0e0 ELSE (co - min(co) OVER w) / (max(co) OVER w - min(co) OVER w) END AS b FROM s WINDOW w AS (PARTITION BY qid)),
 f AS (SELECT qid, doc_id, {score} AS score FROM m),
-ranked AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)
+ranked AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, doc_id) AS rank FROM f)
 {final}"""
 
 
@@ -258,7 +266,13 @@ def _(spark, sf):
     return hash_vectors(words, "doc_id").select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
-@register("query_vector")
+def _hash_values() -> str:
+    """The query words' places and signs, by the keyed hash itself, which SQL doesn't have."""
+    h = lambda w, part: int.from_bytes(hashlib.blake2b(f"{w}|{part}".encode(), digest_size=8, key=b"13").digest(), "big")
+    return ", ".join(f"({quote(qid)}, {h(w, 'proj') % 256}, {1 - 2 * (h(w, 'sign') % 2)})" for qid, query in ASKED for w in query.split())
+
+
+@register("query_vector", f"WITH c AS (SELECT qid, idx, CAST(sum(sign) AS DOUBLE) AS val FROM (VALUES {_hash_values()}) v(qid, idx, sign) GROUP BY ALL), n AS (SELECT qid, sqrt(sum(val * val)) AS norm FROM c GROUP BY qid) SELECT qid, CAST(idx AS INTEGER) AS idx, round(val / norm, 6) AS val FROM c JOIN n USING (qid) WHERE val <> 0")
 def _(spark, sf):
     q = query_terms(named(spark)).select("qid", "term", F.col("qtf").alias("tf"))
     return hash_vectors(q, "qid").select("qid", "idx", F.round("val", 6).alias("val"))
@@ -340,7 +354,11 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
-@register("html_clean")
+#: The pages' other entities; letters of any script beside an ampersand.
+CLEAN_SQL = SQL["html_strip"].replace("regexp_replace(html,", "regexp_replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'),").replace("([[:word:]])", r"([\p{L}\p{N}_])")
+
+
+@register("html_clean", CLEAN_SQL)
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.clean_html(F.col("html")).alias("text"))
 
@@ -383,13 +401,38 @@ def _(spark, sf):
     return r.select("method", F.round("r", 6).alias("r"))
 
 
-@register("eval_methods")
-def _(spark, sf):
-    scored = {m: ranked(spark, sf, m) for m in ("bm25", "bm25plus", "tfidf", "hybrid", "semantic")}
-    return metrics.compare_methods(scored, qrels(spark, sf)).select("method", F.round("r", 6).alias("r"))
+LEXICAL = ("bm25", "bm25plus", "tfidf", "hybrid")
+_R = ", x AS (SELECT score, CAST(coalesce(quality, 0) AS DOUBLE) AS rel FROM ranked LEFT JOIN labels USING (doc_id)) SELECT '{m}' AS method, round(corr(score, rel), 6) AS r FROM x"
+_BOARD = "SELECT '{m}' AS run, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, count(*) AS n_queries, count(*) FILTER (WHERE n_ret > 0) AS n_covered FROM q_"
+
+
+def _each(final: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({rank_sql(ASKED, m, '').rstrip()}{final.format(m=m)})" for m in LEXICAL)
+
+
+def _compared(methods: tuple[str, ...]) -> Query:
+    return lambda spark, sf: metrics.compare_methods({m: ranked(spark, sf, m) for m in methods}, qrels(spark, sf)).select("method", F.round("r", 6).alias("r"))
 
 
-@register("eval_leaderboard")
+def _board(methods: tuple[str, ...]) -> Query:
+    def query(spark, sf):
+        board = metrics.leaderboard({m: top(ranked(spark, sf, m)) for m in methods}, qrels(spark, sf))
+        return board.select("run", F.round("map", 6).alias("map"), F.round("mrr", 6).alias("mrr"), "n_queries", "n_covered")
+
+    return query
+
+
+register("eval_methods", _each(_R))(_compared(LEXICAL))
+register("eval_leaderboard", _each(EVAL + _BOARD))(_board(LEXICAL))
+register("eval_semantic")(_compared(("semantic",)))
+
+JUDGED_SQL = rank_sql(ASKED, "bm25plus", "").replace("c AS (" + rank_sql(ASKED, "bm25plus", "").split("c AS (")[-1].split("),\nh AS")[0] + ")", f"c AS (SELECT qid, doc_id FROM labels CROSS JOIN (VALUES {QIDS}) v(qid))")
+
+
+@register("eval_judged", JUDGED_SQL.rstrip() + ", x AS (SELECT score, CAST(quality AS DOUBLE) AS rel FROM ranked JOIN labels USING (doc_id)) SELECT 'bm25plus' AS method, round(corr(score, rel), 6) AS r FROM x")
 def _(spark, sf):
-    runs = {m: top(ranked(spark, sf, m)) for m in ("bm25", "bm25plus", "tfidf", "hybrid", "semantic")}
-    return metrics.leaderboard(runs, qrels(spark, sf))
+    r = metrics.compare_rankers(index(spark, sf), named(spark), qrels(spark, sf), ("bm25plus",))
+    return r.select("method", F.round("r", 6).alias("r"))
+
+
+from textloom import source_queries  # noqa: E402, F401 - registers its queries here

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,31 +70,68 @@ def queries_lenient(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("qid", "id", "query_id", "qid_str").alias("qid"), F.coalesce("query", "text").alias("query"))
 
 
+#: The names that fields of judgment files go by, the first present one counts. Fixed values.
+QUERY_KEYS = ("qid", "query_id", "id", "qid_str")
+DOC_KEYS = ("doc_id", "id", "document_id")
+FLAT_DOC_KEYS = ("doc_id", "document_id", "doc")
+GRADE_KEYS = ("rel", "score", "label", "relevance", "grade")
+LIST_KEYS = ("qrels", "relevance", "judgments", "labels", "data")
+
+
+def _object(value: Column) -> Column:
+    """A JSON object as a map to its values' text; null for anything else."""
+    return F.from_json(F.when(F.ltrim(value).startswith("{"), value), "map<string,string>")
+
+
+def _items(value: Column) -> Column:
+    return F.from_json(F.when(F.ltrim(value).startswith("["), value), "array<string>")
+
+
+def _field(row: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_element_at(row, F.lit(k)) for k in keys])
+
+
 def judgments(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """``qid``, ``doc_id`` and ``rel`` from any of the known JSON shapes.
 
-    An object of objects (possibly under ``qrels`` or ``judgments``), or an array of rows with
-    ``relevance_scores``, ``relevance``, ``docs`` (ids and grades under several names), or flat
-    ``doc_id`` and ``rel``. Malformed numbers fail if ``strict``, else they are skipped.
+    An object of objects (possibly under ``qrels`` or ``judgments``), or an array of rows, by itself
+    or as a value of an object. A row names its query and has ``relevance_scores``, a document and
+    a grade of its own, ``relevance``, or a list ``docs`` of such pairs; the first of these counts,
+    and a pair without a grade has grade 0. Rows without a query are skipped; of repeated pairs the
+    last counts. Malformed numbers fail if ``strict``, else they are skipped.
     """
-    value = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
-    nested = "map<string,map<string,string>>"
-    inner = F.coalesce(F.get_json_object("v", "$.qrels"), F.get_json_object("v", "$.judgments"), F.col("v"))
-    is_array = F.ltrim("v").startswith("[")
-    maps = value.where(~is_array).select(F.explode(F.from_json(inner, nested)).alias("qid", "m")).select("qid", F.explode("m").alias("doc_id", "rel"))
-    doc = "struct<id:string,doc_id:string,docid:string,rel:string,relevance:string,grade:string,score:string>"
-    row = f"qid string, query_id string, relevance_scores map<string,string>, relevance map<string,string>, docs array<{doc}>, doc_id string, rel string"
-    rows = value.where(is_array).select(F.explode(F.from_json("v", f"array<struct<{row.replace(' string', ':string').replace(' map', ':map').replace(' array', ':array')}>>")).alias("r")).select("r.*")
-    rows = rows.withColumn("qid", F.coalesce("qid", "query_id"))
-    scored = rows.select("qid", F.explode(F.coalesce("relevance_scores", "relevance")).alias("doc_id", "rel"))
-    listed = rows.where(F.coalesce("relevance_scores", "relevance").isNull()).select("qid", F.explode("docs").alias("d"))
-    listed = listed.select("qid", F.coalesce("d.doc_id", "d.id", "d.docid").alias("doc_id"), F.coalesce("d.rel", "d.relevance", "d.grade", "d.score").alias("rel"))
-    flat = rows.where(F.col("doc_id").isNotNull()).select("qid", "doc_id", "rel")
-    every = maps.unionByName(scored).unionByName(listed).unionByName(flat)
+    value = spark.read.text(path, wholetext=True).select(F.col("value").alias("v")).select("v", _object(F.col("v")).alias("top"))
+    listed = lambda x: F.when(F.ltrim(x).startswith("["), x)
+    named = [listed(F.try_element_at("top", F.lit(k))) for k in LIST_KEYS]
+    first = F.get(F.filter(F.map_values("top"), lambda x: F.coalesce(F.ltrim(x).startswith("["), F.lit(False))), F.lit(0))
+    value = value.select("top", F.coalesce(listed(F.col("v")), *named, first).alias("rows"))
+    objects = lambda m: F.forall(F.map_values(m), lambda x: F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)))
+    inner = F.coalesce(*[_object(F.try_element_at("top", F.lit(k))) for k in ("qrels", "judgments")])
+    nested = F.when(objects(inner), inner).when(objects("top"), F.col("top"))
+    nested = F.coalesce(nested, F.raise_error(F.lit("unknown shape of judgments")).cast("map<string,string>"))
+    maps = value.where("rows is null").select(F.posexplode(nested).alias("n", "qid", "m"))
+    maps = maps.select(F.lit(0).alias("n"), "qid", F.posexplode(_object(F.col("m"))).alias("at", "doc_id", "rel"))
+    rows = value.where("rows is not null").select(F.posexplode(_items(F.col("rows"))).alias("n", "r"))
+    rows = rows.select("n", _object(F.col("r")).alias("r")).where("r is not null")
+    qid = F.coalesce(*[F.nullif(F.try_element_at("r", F.lit(k)), F.lit("")) for k in QUERY_KEYS])
+    pair = lambda d, r: F.struct(d.alias("doc_id"), F.coalesce(r, F.lit("0")).alias("rel"))
+    of_map = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("doc_id"), e["value"].alias("rel")))
+    own, many = _field(F.col("r"), FLAT_DOC_KEYS), F.transform(_items(F.try_element_at("r", F.lit("docs"))), _object)
+    pairs = F.coalesce(
+        of_map(_object(F.try_element_at("r", F.lit("relevance_scores")))),
+        F.when(own.isNotNull(), F.array(pair(own, _field(F.col("r"), GRADE_KEYS)))),
+        of_map(_object(F.try_element_at("r", F.lit("relevance")))),
+        F.transform(F.filter(many, lambda d: _field(d, DOC_KEYS).isNotNull()), lambda d: pair(_field(d, DOC_KEYS), _field(d, GRADE_KEYS))),
+    )
+    rows = rows.select("n", qid.alias("qid"), pairs.alias("pairs")).where("qid is not null")
+    rows = rows.select("n", "qid", F.posexplode("pairs").alias("at", "p")).select("n", "qid", "at", "p.doc_id", "p.rel")
+    every = maps.unionByName(rows)
     if strict:
-        return every.select("qid", F.col("doc_id").cast("long").alias("doc_id"), F.col("rel").cast("double").alias("rel"))
-    every = every.select("qid", F.col("doc_id").try_cast("long").alias("doc_id"), F.col("rel").try_cast("double").alias("rel"))
-    return every.where("doc_id is not null and rel is not null")
+        every = every.select("n", "at", "qid", F.col("doc_id").cast("long").alias("doc_id"), F.col("rel").cast("double").alias("rel"))
+    else:
+        every = every.select("n", "at", "qid", F.col("doc_id").try_cast("long").alias("doc_id"), F.col("rel").try_cast("double").alias("rel"))
+        every = every.where("doc_id is not null and rel is not null")
+    return every.groupBy("qid", "doc_id").agg(F.max_by("rel", F.struct("n", "at")).alias("rel"))
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +149,20 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """``word`` and ``vec`` of lines ``word v1 v2 ...``; malformed lines are skipped."""
+    """``word`` and ``vec`` of lines ``word v1 v2 ...``; malformed lines are skipped.
+
+    A file without ``<unk>`` gets one: normal, of deviation 0.05 and a fixed seed.
+    """
     parts = F.split(F.rtrim("value"), " ")
     rows = spark.read.text(path).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("float")).alias("vec"))
     ok = (F.col("word") != "") & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull())
-    return rows.where(ok & (F.size("vec") == dim) if dim else ok)
+    rows = rows.where(ok & (F.size("vec") == dim) if dim else ok)
+    first = rows.select(F.size("vec")).first()
+    if not first:
+        return rows
+    unknown = np.random.default_rng(seed=42).normal(0.0, 0.05, size=first[0]).astype(np.float32)
+    added = spark.createDataFrame([("<unk>", unknown.tolist())], "word string, vec array<float>")
+    return rows.unionByName(added.join(rows.where(F.col("word") == "<unk>").select("word"), "word", "left_anti"))
 
 
 def trec_judgments(spark: SparkSession, path: str) -> DataFrame:

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 
 def write_run(rows: DataFrame, path: str) -> None:
-    """A run as one JSON array. Rows are one for each query with at most some ten results."""
+    """A run as one JSON array, at any path that Spark can write to; parent folders are made.
+
+    Rows are one for each query with at most some ten results.
+    """
     out = [{"qid": r.qid, "doc_ids": list(r.doc_ids), "results": [{"doc_id": x.doc_id, "score": x.score} for x in r.results]} for r in rows.select("qid", "doc_ids", "results").toLocalIterator()]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(out, indent=2), encoding="utf-8")
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(json.dumps(out, indent=2).encode())
+    finally:
+        stream.close()
