@@ -64,8 +64,6 @@ def fold(events: DataFrame, *, conversation: str = "conv_id", sequence: str = "s
     )
     order = Window.partitionBy("conv").orderBy("seq", "role", "text")
     e = e.withColumn("n", F.row_number().over(order).cast("long"))
-    if kind is None and message is None:
-        return e.select("conv", F.col("n").alias("at"), "role", "text")
     e = e.withColumn("key", F.coalesce(F.concat(F.lit("m"), "message"), F.concat(F.lit("#"), F.col("n").cast("string"))))
     own = Window.partitionBy("conv", "key")
     e = e.withColumn("reset", F.max(F.when(F.col("kind") != "delta", F.col("n"))).over(own))
