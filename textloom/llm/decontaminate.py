@@ -4,16 +4,20 @@ Each benchmark item gives windows of ``size`` consecutive words (an item with fe
 not none, is one window). A window is contained in a document if all of its words are found
 there in order, so the join's required overlap is the whole window and one token of it, the
 rarest by document-corpus counts, is a sufficient prefix. Document words that are no prefix of
-any window are dropped by a bitmap; the rest are aligned at each offset that their prefix has
-(positional bound), must leave room for the window in their document (length bound), and are
-then verified word by word. Nothing is shuffled but the counts of the item words.
-
-The benchmark is taken in blocks of at most ``block_bytes`` of text; only one block's windows
-are sent to the tasks at once, so the broadcast has a fixed bound however large the benchmark.
-
-Edge cases: null or word-free texts have no words and no hits; an empty benchmark hits nothing;
-repeated documents are judged one by one; repeated items count once by id; items without an id
-mark words but aren't listed; extra columns of either table are carried or ignored.
+any window are dropped; the rest are aligned at each offset that their prefix has (positional
+bound), must leave room for the window in their document (length bound), and are then verified
+word by word. Words are known by hash but compared by their bytes, so hashes that collide cost
+time and change nothing. Nothing is shuffled but the counts of the item words.
+
+The benchmark's distinct rows are taken in blocks of about ``block_bytes`` of text (an item is in
+one block); only one block's windows, some four times its text, are broadcast at once, so that
+has a bound however large the benchmark. Each further block is a further pass over the documents.
+
+Edge cases: null, empty or word-free texts have no words and no hits; an empty benchmark hits
+nothing and an empty table of documents gives an empty result; repeated documents are judged one
+by one; repeated items count once by id; items without an id mark words but aren't listed; very
+long texts are taken whole, a batch ends after some bytes; extra columns of documents are
+carried in ``doc`` whatever their names, those of the benchmark are ignored.
 """
 
 from __future__ import annotations
@@ -32,26 +36,59 @@ from textloom.llm.rows import per_text, quoted, small_batches
 _BITS = 20
 
 
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << _BITS, bool)
-    table[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return table
-
+@dataclass
+class Vocabulary:
+    """The distinct words of some items, in order of their hashes, with their bytes."""
 
-def _members(wh: np.ndarray, table: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words that are ``known`` (sorted), and the index of each there."""
-    p = np.flatnonzero(table[(wh >> np.uint64(64 - _BITS)).astype(np.int64)])
-    i = np.minimum(np.searchsorted(known, wh[p]), len(known) - 1)
-    same = known[i] == wh[p]
-    return p[same], i[same]
+    hash: np.ndarray
+    data: np.ndarray
+    at: np.ndarray
+    bitmap: np.ndarray
+
+    def ids(self, w: K.Words) -> np.ndarray:
+        """The number of each word, -1 for others: found by hash, decided by the bytes."""
+        wh = w.hashes()
+        p = np.flatnonzero(self.bitmap[_slot(wh)])
+        out = np.full(len(wh), -1, np.int32)
+        i = np.searchsorted(self.hash, wh[p])
+        while len(p):
+            some = (i < len(self.hash)) & (self.hash[np.minimum(i, len(self.hash) - 1)] == wh[p])
+            p, i = p[some], i[some]
+            size = self.at[i + 1] - self.at[i]
+            same = size == (w.end - w.start)[p]
+            same[same] = K.equal_bytes(w.texts.data, w.start[p[same]], self.data, self.at[i[same]], size[same])
+            out[p[same]] = i[same]
+            p, i = p[~same], i[~same] + 1
+        return out
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def _vocabulary(w: K.Words) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary of some words, and the number of each word in it."""
+    body, wh = w.texts.data.tobytes(), w.hashes()
+    known: dict[bytes, int] = {}
+    first = np.array([known.setdefault(body[s:e], k) for k, (s, e) in enumerate(zip(w.start.tolist(), w.end.tolist()))], np.int64)
+    one = np.unique(first)
+    one = one[np.argsort(wh[one], kind="stable")]
+    number = np.zeros(len(wh), np.int32)
+    number[one] = np.arange(len(one))
+    own, j = K.ragged((w.end - w.start)[one])
+    at = np.concatenate([[0], np.cumsum((w.end - w.start)[one])])
+    bitmap = np.zeros(1 << _BITS, bool)
+    bitmap[_slot(wh[one])] = True
+    return Vocabulary(wh[one], w.texts.data[w.start[one][own] + j], at, bitmap), number[first]
 
 
 @dataclass
 class Windows:
-    """Item windows of one length: word hashes, a hash of each, and the items that have it."""
+    """Distinct item windows of one length, in order of a hash: where each begins among the items'
+    words, and the items that have it."""
 
     size: int
-    words: np.ndarray
+    start: np.ndarray
     key: np.ndarray
     item_at: np.ndarray
     items: np.ndarray
@@ -60,60 +97,60 @@ class Windows:
 @dataclass
 class Block:
     ids: pa.Array
+    words: np.ndarray
     windows: list[Windows]
-    vocabulary: np.ndarray
+    vocabulary: Vocabulary
+
+
+def _keys(numbers: np.ndarray, size: int) -> np.ndarray:
+    return K.sequences(K.mix(numbers.astype(np.uint64) + np.uint64(1)), size)
 
 
 def _block(items: pa.Table, size: int) -> Block:
     t = K.texts(items.column("text").combine_chunks()).lower()
     w = K.Words(t, K.ALNUM)
-    wh = w.hashes()
-    n_words = np.diff(w.first)
+    vocabulary, words = _vocabulary(w)
+    n_words, owner = np.diff(w.first), w.owner()
     out = []
     for length in sorted({size, *n_words[(n_words > 0) & (n_words < size)].tolist()}):
-        if length == size:
-            start = K.windows(w.first, size)
-        else:
-            start = w.first[:-1][n_words == length]
+        start = K.windows(w.first, size) if length == size else w.first[:-1][n_words == length]
         if not len(start):
             continue
-        words = wh[start[:, None] + np.arange(length)]
-        _, one, which = np.unique(words, axis=0, return_index=True, return_inverse=True)
-        which = which.reshape(-1)
-        words, key = words[one], np.array([K.sequences(wh[s : s + length], length)[0] for s in start[one]], np.uint64)
-        order = np.argsort(key, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        pairs = np.unique(np.stack([place[which], w.owner()[start]]), axis=1)
-        item_at = np.searchsorted(pairs[0], np.arange(len(order) + 1))
-        out.append(Windows(length, words[order], key[order], item_at, pairs[1]))
-    return Block(items.column("item").combine_chunks(), out, np.unique(wh))
-
-
-def _counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarray:
+        key = _keys(words, length)[start]
+        order = np.lexsort([*[words[start + j] for j in range(length - 1, -1, -1)], key])
+        start, key = start[order], key[order]
+        new = np.ones(len(start), bool)
+        new[1:] = key[1:] != key[:-1]
+        for j in range(length):
+            new[1:] |= words[start[1:] + j] != words[start[:-1] + j]
+        pairs = np.unique(np.stack([np.cumsum(new) - 1, owner[start]]), axis=1)
+        out.append(Windows(length, start[new], key[new], np.searchsorted(pairs[0], np.arange(int(new.sum()) + 1)), pairs[1]))
+    return Block(items.column("item").combine_chunks(), words, out, vocabulary)
+
+
+def _counts(docs: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarray:
     """How often each vocabulary word occurs in all documents."""
-    table = _bitmap(vocabulary)
+    size = len(vocabulary.hash)
 
     def count(batches):
-        total = np.zeros(len(vocabulary), np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
             for _, t in K.pieces(b.column(0)):
-                _, i = _members(K.Words(t.lower(), K.ALNUM).hashes(), table, vocabulary)
-                total += np.bincount(i, minlength=len(vocabulary))
+                i = vocabulary.ids(K.Words(t.lower(), K.ALNUM))
+                total += np.bincount(i[i >= 0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "n"])
 
     found = small_batches(docs).select(F.col(quoted(text)).cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(vocabulary), np.int64)
+    out = np.zeros(size, np.int64)
     out[found.column("word").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
 @dataclass
 class Prefixes:
-    """For each prefix word (sorted hashes) the alignments (window set, offset) at which to try it."""
+    """For each vocabulary word the alignments (window set, offset) at which to try it, if any."""
 
-    word: np.ndarray
     at: np.ndarray
     which: np.ndarray
     offset: np.ndarray
@@ -122,18 +159,22 @@ class Prefixes:
 def _prefixes(block: Block, counts: np.ndarray) -> Prefixes:
     rows = []
     for k, x in enumerate(block.windows):
-        index = np.searchsorted(block.vocabulary, x.words)
-        rarest = np.lexsort(np.stack([index, counts[index]]), axis=1)[:, 0]
-        word = np.take_along_axis(index, rarest[:, None], axis=1)[:, 0]
-        rows.append(np.stack([word, np.full(len(word), k), rarest]))
+        least = np.full(len(x.start), np.iinfo(np.int64).max)
+        word, offset = np.zeros(len(x.start), np.int64), np.zeros(len(x.start), np.int64)
+        for j in range(x.size):
+            own = block.words[x.start + j]
+            rarer = (counts[own] < least) | ((counts[own] == least) & (own < word))
+            least[rarer], word[rarer], offset[rarer] = counts[own][rarer], own[rarer], j
+        rows.append(np.unique(np.stack([word, np.full(len(word), k), offset]), axis=1))
     pairs = np.unique(np.concatenate(rows, axis=1), axis=1)
-    words, at = np.unique(pairs[0], return_index=True)
-    return Prefixes(block.vocabulary[words], np.append(at, pairs.shape[1]), pairs[1], pairs[2])
+    return Prefixes(np.searchsorted(pairs[0], np.arange(len(block.vocabulary.hash) + 1)), pairs[1], pairs[2])
 
 
-def _hits(w: K.Words, wh: np.ndarray, block: Block, pre: Prefixes, table: np.ndarray):
-    """(start word, length, window set, window) of every verified occurrence."""
-    p, i = _members(wh, table, pre.word)
+def _hits(w: K.Words, block: Block, pre: Prefixes):
+    """(start word, window set, window) of every verified occurrence."""
+    ids = block.vocabulary.ids(w)
+    p = np.flatnonzero(ids >= 0)
+    i = ids[p]
     own, step = K.ragged(pre.at[i + 1] - pre.at[i])
     a = pre.at[i[own]] + step
     set_, start = pre.which[a], p[own] - pre.offset[a]
@@ -142,23 +183,28 @@ def _hits(w: K.Words, wh: np.ndarray, block: Block, pre: Prefixes, table: np.nda
     for k, x in enumerate(block.windows):
         ok = (set_ == k) & (start >= low) & (start + x.size <= high)
         s = np.unique(start[ok])
-        key = wh[s].copy()
-        for j in range(1, x.size):
-            key *= np.uint64(K._WORDS)
-            key += wh[s + j]
-        key = K.mix(key)
-        at = np.minimum(np.searchsorted(x.key, key), len(x.key) - 1)
-        same = x.key[at] == key
-        s, at = s[same], at[same]
-        same = (wh[s[:, None] + np.arange(x.size)] == x.words[at]).all(axis=1)
-        yield s[same], x, at[same]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+        for j in range(x.size):
+            s = s[ids[s + j] >= 0]
+        if not len(s):
+            continue
+        around = s[:, None] + np.arange(x.size)
+        key = _keys(ids[around].ravel(), x.size)[:: x.size]
+        at = np.searchsorted(x.key, key)
+        while len(s):
+            some = (at < len(x.key)) & (x.key[np.minimum(at, len(x.key) - 1)] == key)
+            s, at, key = s[some], at[some], key[some]
+            same = np.ones(len(s), bool)
+            for j in range(x.size):
+                same &= ids[s + j] == block.words[x.start[at] + j]
+            yield s[same], x, at[same]
+            s, at, key = s[~same], at[~same] + 1, key[~same]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document: ``doc`` (its columns ``keep``), ``n_words``, ``hits`` (word ranges from
     ``start`` up to, not including, ``end``) and ``items`` (ids of items with a window in it)."""
     keep = docs.columns if keep is None else keep
-    bench = benchmark.select(F.col(quoted(item)).alias("item"), F.col(quoted(item_text)).cast("string").alias("text"))
+    bench = benchmark.select(F.col(quoted(item)).alias("item"), F.col(quoted(item_text)).cast("string").alias("text")).distinct()
     volume = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(volume) // block_bytes
     id_type = bench.schema["item"].dataType.simpleString()
@@ -173,10 +219,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
 def _pass(before: DataFrame | None, docs: DataFrame, text: str, keep: list[str], block: Block, id_type: str) -> DataFrame:
     pre = _prefixes(block, _counts(docs, text, block.vocabulary)) if block.windows else None
-    table = _bitmap(pre.word) if pre else None
-    ids = block.ids
+    sent = docs.sparkSession.sparkContext.broadcast((block, pre))
 
     def match(column: pa.Array, old_hits: pa.Array | None = None, old_items: pa.Array | None = None) -> list[pa.Array]:
+        block, pre = sent.value
+        ids = block.ids
         n_words, starts, ends, n_spans, found, n_found = [], [], [], [], [], []
         for base, t in K.pieces(column):
             w = K.Words(t.lower(), K.ALNUM)
@@ -184,7 +231,7 @@ def _pass(before: DataFrame | None, docs: DataFrame, text: str, keep: list[str],
             step = np.zeros(n + 1, np.int64)
             pairs = [np.zeros((2, 0), np.int64)]
             if pre is not None and n:
-                for s, x, at in _hits(w, w.hashes(), block, pre, table):
+                for s, x, at in _hits(w, block, pre):
                     step += np.bincount(s, minlength=n + 1) - np.bincount(s + x.size, minlength=n + 1)
                     doc = np.searchsorted(w.first, s, side="right") - 1
                     seen = np.unique(np.stack([doc, at]), axis=1)
