@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import bound
 from textloom.llm.rows import quoted
 
 
@@ -63,8 +64,7 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep
     d = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), F.col(quoted(key)).alias("_id"), F.xxhash64(body).alias("_copy"), body.alias("_text"))
     d = d.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_copy") == F.col("copy")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    parts = F.split("_text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed")), lambda i: F.col("_parts")[i])
-    d = d.withColumn("_parts", parts)
+    # The text is split once for a document: a lambda that closed over the split would redo it for each line.
+    left = bound(F.split("_text", "\n"), lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("removed")), lambda i: F.get(p, i)))
     kept = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
-    return d.select("doc", F.coalesce(F.size("_parts"), F.lit(0)).cast("long").alias("n_lines"), removed.alias("removed"), kept.alias("kept"))
+    return d.select("doc", F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("n_lines"), removed.alias("removed"), kept.alias("kept"))
