@@ -4,6 +4,9 @@ A chunk of documents sends each bucket one blob: its sorted distinct fingerprint
 each (the sixteen leading bits follow from the bucket and from a table of counts in front). A
 bucket's reducer merges the runs of all chunks and answers each with one bit for each fingerprint,
 in the same order; a chunk knows its fingerprints again by computing them again.
+
+An entry may carry a check of two bytes, from a hash of its own: entries are the same only if both
+fingerprint and check are.
 """
 
 from __future__ import annotations
@@ -20,7 +23,20 @@ def bucket_bits(fingerprints: float, each: int = 400_000) -> int:
     return int(min(_LEAD, max(6, np.ceil(np.log2(max(fingerprints, 1) / each)))))
 
 
-def encode(sorted_: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
+def ordered(fp: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by fingerprint, then check (equal ones as they stand), and which of
+    them, in that order, differ from the one before."""
+    order = np.argsort(fp, kind="stable")
+    f, c = fp[order], check[order]
+    if ((f[1:] == f[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((check, fp))
+        f, c = fp[order], check[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
+    return order, new
+
+
+def encode(sorted_: np.ndarray, bits: int, check: np.ndarray | None = None) -> list[tuple[int, bytes]]:
     """(bucket, blob) for each bucket that has fingerprints."""
     edge = np.searchsorted(sorted_, np.arange(1, 1 << _LEAD, dtype=np.uint64) << _SHIFT)
     edge = np.concatenate([[0], edge, [len(sorted_)]])
@@ -30,18 +46,28 @@ def encode(sorted_: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
     for b in range(1 << bits):
         at = edge[b * each : (b + 1) * each + 1]
         if at[-1] > at[0]:
-            out.append((b, np.diff(at).astype("<u4").tobytes() + low[at[0] : at[-1]].tobytes()))
+            own = slice(at[0], at[-1])
+            out.append((b, np.diff(at).astype("<u4").tobytes() + low[own].tobytes() + (check[own].astype("<u2").tobytes() if check is not None else b"")))
     return out
 
 
 def decode(bucket: int, blob: bytes | memoryview, bits: int) -> np.ndarray:
+    return _decode(bucket, blob, bits)[0]
+
+
+def decode_checked(bucket: int, blob: bytes | memoryview, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    fp, at = _decode(bucket, blob, bits)
+    return fp, np.frombuffer(blob, "<u2", len(fp), offset=at)
+
+
+def _decode(bucket: int, blob: bytes | memoryview, bits: int) -> tuple[np.ndarray, int]:
     each = 1 << (_LEAD - bits)
     counts = np.frombuffer(blob, "<u4", each)
-    low = np.frombuffer(blob, np.uint8, offset=4 * each).reshape(-1, 6)
-    whole = np.zeros((len(low), 8), np.uint8)
-    whole[:, :6] = low
+    n = int(counts.sum())
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, offset=4 * each).reshape(-1, 6)
     lead = np.repeat(np.arange(each, dtype=np.uint64) + np.uint64(bucket * each), counts)
-    return whole.view("<u8").ravel() | (lead << _SHIFT)
+    return whole.view("<u8").ravel() | (lead << _SHIFT), 4 * each + 6 * n
 
 
 def bucket_counts(sorted_: np.ndarray, bits: int) -> np.ndarray:
@@ -53,6 +79,10 @@ def blobs(table: pa.Table, bucket: int, bits: int, column: str = "run") -> list[
     return [decode(bucket, memoryview(x.as_buffer()), bits) for x in table.column(column)]
 
 
+def checked_blobs(table: pa.Table, bucket: int, bits: int, column: str = "run") -> list[tuple[np.ndarray, np.ndarray]]:
+    return [decode_checked(bucket, memoryview(x.as_buffer()), bits) for x in table.column(column)]
+
+
 def merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All fingerprints in order, equal ones by run, and where in their concatenation each stood."""
     every = np.concatenate(runs) if runs else np.zeros(0, np.uint64)

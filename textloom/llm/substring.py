@@ -1,26 +1,33 @@
 """Incremental substring deduplication over a log-structured index of window fingerprints.
 
 The index is a list of immutable runs. A run is a table of buckets (leading bits of the
-fingerprint), each a sorted blob of the 64-bit fingerprints of windows of ``size`` words that
-were new when the run was made. A batch of documents is cut into chunks by document id; each
-chunk sends its sorted distinct fingerprints to the buckets, where they are merge-joined with the
-runs there and with each other in chunk order. What is found earlier comes back as bits, the rest
-becomes the batch's own run. ``compact`` merges runs when there are ``fan_in`` of one size class.
-
-Within a chunk the earlier document is found by sorting. Windows are taken for equal if all 64
-bits of their fingerprints agree.
+fingerprint), each a sorted blob of the windows of ``size`` words that were new when the run was
+made: a 64-bit fingerprint, and a check of 16 bits from a second hash under another key. A batch of
+documents is cut into chunks by document id; each chunk sends its sorted distinct entries to the
+buckets, where they are merge-joined with the runs there and with each other in chunk order, and
+a match of fingerprints is verified by its check. What is found earlier comes back as bits, the
+rest becomes the batch's own run. After each batch ``compact`` merges runs while there are
+``fan_in`` of one size class, so a fingerprint is rewritten a logarithmic number of times.
+
+Both hashes are keyed; the key is drawn with the index and kept in it, so texts can't be made to
+collide beforehand. Within a chunk the earlier document is found by sorting. A chunk is a range of
+ids that holds a bounded number of texts; an id that fills several such ranges has chunks of its
+own, and chunks of one range never count as earlier than one another.
 
 A word is removed if any window that covers it also begins in a document with a smaller id;
 windows are judged on the input. Batches are taken in order of ids, so all that is in the index
 has a smaller id.
 
-Edge cases: null texts have no words; a null id counts as smaller than all others; rows with
-equal ids never remove one another's words; texts of fewer than ``size`` words stay whole; an
-empty table gives an empty result; other columns are carried in ``doc``.
+Edge cases: null and empty texts have no words; a null id counts as smaller than all others; rows
+with equal ids (repeated rows among them) never remove one another's words; texts of fewer than
+``size`` words stay whole; a very long text is one group's, whole; an empty table gives an empty
+result; other columns are carried in ``doc`` whatever their names.
 """
 
 from __future__ import annotations
 
+import secrets
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,6 +53,8 @@ class Index:
     bits: int
     runs: list[tuple[str, int]] = field(default_factory=list)
     fan_in: int = 4
+    key: int = field(default_factory=lambda: secrets.randbits(63))
+    hash_bits: int = 64
 
     def read(self, spark) -> DataFrame | None:
         if not self.runs:
@@ -65,35 +74,43 @@ class Index:
 
             def merge(table: pa.Table) -> pa.Table:
                 b = table.column("bucket")[0].as_py()
-                every, _ = R.merged(R.blobs(table, b, bits))
-                every = every[np.concatenate([[True], every[1:] != every[:-1]])]
-                return pa.table({"bucket": pa.array([b], pa.int32()), "chunk": pa.array([-1], pa.int32()), "data": pa.array([x for _, x in R.encode(every, bits)], pa.binary()), "n": pa.array([len(every)], pa.int64())})
+                fp, check = _together(R.checked_blobs(table, b, bits))
+                order, new = R.ordered(fp, check)
+                fp, check = fp[order][new], check[order][new]
+                return pa.table({"bucket": pa.array([b], pa.int32()), "chunk": pa.array([-1], pa.int32()), "data": pa.array([x for _, x in R.encode(fp, bits, check)], pa.binary()), "n": pa.array([len(fp)], pa.int64())})
 
             part = Index(self.size, bits, last).read(spark).groupBy("bucket").applyInArrow(merge, _RUN)
             path = store.write(part, "run")
             self.runs[-self.fan_in :] = [(path, sum(n for _, n in last))]
-            for old, _ in last:
-                store.remove(spark, old)
 
 
-def _fingerprints(table: pa.Table, size: int):
-    """Words, starts of windows, their fingerprints, and the rank of each text's id."""
-    column = table.column("text").combine_chunks()
-    t = K.texts(column)
-    w = K.Words(t, K.NON_SPACE)
-    start = K.windows(w.first, size)
-    fp = K.sequences(w.hashes(), size)[start] if len(start) else np.zeros(0, np.uint64)
-    ids = table.column("id").to_numpy()
-    _, rank = np.unique(ids, return_inverse=True)
-    return w, start, fp, rank
+def _together(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    fps, checks = zip(*runs) if runs else ((), ())
+    return np.concatenate([np.zeros(0, np.uint64), *fps]), np.concatenate([np.zeros(0, np.uint16), *checks])
+
+
+@dataclass
+class Windows:
+    """Words, starts of windows, and the sorted distinct entries, with the entry of each window."""
+
+    words: K.Words
+    start: np.ndarray
+    fp: np.ndarray
+    check: np.ndarray
+    which: np.ndarray
 
 
-def _first_seen(fp: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct fingerprints, the index of each window's, and the smallest owner of each."""
-    known, which = np.unique(fp, return_inverse=True)
-    least = np.full(len(known), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, owner)
-    return known, which, least
+def _windows(table: pa.Table, index: Index) -> Windows:
+    w = K.Words(K.texts(table.column("text").combine_chunks()), K.NON_SPACE)
+    start = K.windows(w.first, index.size)
+    of = lambda key: K.sequences(w.hashes(key=key), index.size)[start] if len(start) else np.zeros(0, np.uint64)
+    fp, check = of(index.key), (of(index.key ^ 0x5DEECE66D) >> np.uint64(48)).astype(np.uint16)
+    if index.hash_bits < 64:
+        fp = fp >> np.uint64(64 - index.hash_bits) << np.uint64(64 - index.hash_bits)
+    order, new = R.ordered(fp, check)
+    which = np.empty(len(fp), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return Windows(w, start, fp[order][new], check[order][new], which)
 
 
 def _joined(w: K.Words, keep: np.ndarray) -> pa.Array:
@@ -110,10 +127,28 @@ def _joined(w: K.Words, keep: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body)))
 
 
-def _chunks(docs: DataFrame, text: str, key: str, keep: list[str], low, high, bounds: list[int]) -> DataFrame:
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    n, every = len(bounds), F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(every, at + step - 1) <= key), at + step).otherwise(at))
+
+
+SPLIT = 1 << 12
+
+
+def _chunks(docs: DataFrame, text: str, key: str, keep: list[str], low, high, bounds: list[int], parts: dict[int, int]) -> DataFrame:
+    """Rows with their chunk: the range of the id times ``SPLIT``, plus a part of the range for an
+    id that has ``parts``."""
     k = F.coalesce(F.col(quoted(key)).cast("long"), F.lit(-(1 << 63)))
-    chunk = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b <= k)) if bounds else F.lit(0)
-    rows = docs.select(chunk.cast("int").alias("chunk"), k.alias("id"), F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), F.col(quoted(text)).cast("string").alias("text"))
+    body = F.col(quoted(text)).cast("string")
+    part = F.lit(0)
+    if parts:
+        n = F.try_element_at(F.create_map(*[F.lit(x).cast(t) for i, m in parts.items() for x, t in ((i, "long"), (m, "int"))]), k)
+        part = F.coalesce(F.pmod(F.xxhash64(body), n).cast("int"), F.lit(0))
+    rows = docs.select((_place(k, bounds) * SPLIT + part).cast("int").alias("chunk"), k.alias("id"), F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), body.alias("text"))
     if low is not None:
         rows = rows.where(F.col("id") >= low)
     if high is not None:
@@ -126,8 +161,8 @@ def _batch(rows: DataFrame, index: Index) -> tuple[str, int]:
     size, bits, spark = index.size, index.bits, rows.sparkSession
 
     def emit(table: pa.Table) -> pa.Table:
-        _, _, fp, _ = _fingerprints(table, size)
-        sent = R.encode(np.unique(fp), bits)
+        x = _windows(table, index)
+        sent = R.encode(x.fp, bits, x.check)
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()), "chunk": pa.array([chunk] * len(sent), pa.int32()), "run": pa.array([x for _, x in sent], pa.binary())})
 
@@ -136,22 +171,26 @@ def _batch(rows: DataFrame, index: Index) -> tuple[str, int]:
         if b is None:
             return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         table = table.sort_by("chunk")
-        old = R.blobs(history, b, bits) if history is not None else []
-        new = R.blobs(table, b, bits)
-        every, order = R.merged([*old, *new])
-        again = np.concatenate([[False], every[1:] == every[:-1]])
-        n_old = sum(map(len, old))
-        flags = np.empty(len(every), bool)
-        flags[order] = again
-        fresh = every[~again & (order >= n_old)]
-        at = n_old + np.concatenate([[0], np.cumsum([len(x) for x in new])])
+        old = R.checked_blobs(history, b, bits) if history is not None else []
+        new = R.checked_blobs(table, b, bits)
+        fp, check = _together([*old, *new])
+        sizes = [len(x) for x, _ in new]
+        n_old = len(fp) - sum(sizes)
+        # The range of ids that each entry is from; those of the index are earlier than all.
+        range_ = np.concatenate([np.full(n_old, -1), np.repeat(table.column("chunk").to_numpy() // SPLIT, sizes)])
+        order, first = R.ordered(fp, check)
+        earliest = range_[order][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else range_
+        flags = np.empty(len(fp), bool)
+        flags[order] = range_[order] > earliest
+        fresh = first & (order >= n_old)
+        at = n_old + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         data = [R.pack_bits(flags[i:j]) for i, j in zip(at[:-1], at[1:])]
-        own = [x for _, x in R.encode(fresh, bits)] if len(fresh) else []
+        own = [x for _, x in R.encode(fp[order][fresh], bits, check[order][fresh])] if fresh.any() else []
         return pa.table({
             "bucket": pa.array([b] * (len(data) + len(own)), pa.int32()),
             "chunk": pa.array(table.column("chunk").to_pylist() + [-1] * len(own), pa.int32()),
             "data": pa.array(data + own, pa.binary()),
-            "n": pa.array([len(x) for x in new] + [len(fresh)] * len(own), pa.int64()),
+            "n": pa.array(sizes + [int(fresh.sum())] * len(own), pa.int64()),
         })
 
     sent = rows.select("chunk", "id", "text").groupBy("chunk").applyInArrow(emit, "bucket int, chunk int, run binary")
@@ -173,13 +212,16 @@ def _removed(rows: DataFrame, path: str, index: Index) -> DataFrame:
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([], schema=_arrow(schema))
-        w, start, fp, rank = _fingerprints(table, size)
-        n, texts = len(w), len(w.first) - 1
-        doc = np.searchsorted(w.first, start, side="right") - 1
-        known, which, least = _first_seen(fp, rank[doc])
-        earlier = R.answers(found, R.bucket_counts(known, bits))
-        again = earlier[which] | (least[which] < rank[doc])
-        gone = K.covered(n, start[again], size)
+        x = _windows(table, index)
+        w, n = x.words, len(x.words)
+        texts = len(w.first) - 1
+        _, rank = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        rank = rank[np.searchsorted(w.first, x.start, side="right") - 1]
+        least = np.full(len(x.fp), np.iinfo(np.int64).max)
+        np.minimum.at(least, x.which, rank)
+        earlier = R.answers(found, R.bucket_counts(x.fp, bits))
+        again = earlier[x.which] | (least[x.which] < rank)
+        gone = K.covered(n, x.start[again], size)
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         cut = w.first[1:-1]
@@ -220,14 +262,18 @@ def substring_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     each = min(4 << 20, max(1 << 18, volume // (batches * 48)))
     per_batch = max(1, min(10_000, int(volume // (batches * each))))
     steps = batches * per_batch
-    bounds = sorted(set(docs.select(F.percentile_approx(k, [i / steps for i in range(1, steps)] or [0.5], F.lit(10 * steps))).first()[0] or [])) if steps > 1 else []
+    found = docs.select(F.percentile_approx(k, [i / steps for i in range(1, steps)] or [0.5], F.lit(10 * steps))).first()[0] or [] if steps > 1 else []
+    # An id that is several of the bounds has more rows than a chunk should: it gets a range alone.
+    parts = {i: min(SPLIT, n + 1) for i, n in Counter(found).items() if n > 1}
+    bounds = sorted({*found, *(i + 1 for i in parts)})
     out = None
     edges = [None, *[bounds[min(len(bounds) - 1, i * len(bounds) // batches)] for i in range(1, batches) if bounds], None]
     for low, high in zip(edges[:-1], edges[1:]):
         inner = [b for b in bounds if (low is None or b > low) and (high is None or b < high)]
-        part = _chunks(docs, text, key, keep, low, high, inner)
+        part = _chunks(docs, text, key, keep, low, high, inner, parts)
         path, n = _batch(part, index)
         index.add(path, n)
         done = _removed(part, path, index)
         out = done if out is None else out.unionByName(done)
+        index.compact(docs.sparkSession)
     return out
