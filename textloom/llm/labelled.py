@@ -17,11 +17,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, key: str, keep: Co
     """At most ``most`` labelled keys, chosen by hash among those that satisfy ``keep``, joined
     with the documents that have them: ``y``, ``part`` (hash bits for splits) and ``columns``.
 
-    Only the bounded sample of keys is broadcast; texts aren't shuffled.
+    Only the bounded sample of keys is broadcast, and only its texts are shuffled: of documents that
+    repeat an id the least counts, so there are no more rows than keys.
     """
     k = F.col(quoted(key))
     order = F.xxhash64(k, F.lit(7))
     rows = labels.where(k.isNotNull() & F.col(quoted(label)).isin(0, 1) & keep).select(k.alias("_k"), F.col(quoted(label)).cast("int").alias("y"), order.alias("part"))
     rows = rows.distinct().orderBy("part", "_k", "y").limit(most)
     d = docs.where(k.isNotNull()).select(k.alias("_k"), *[c.alias(n) for n, c in columns.items()])
-    return d.join(F.broadcast(rows), "_k")
+    one = d.join(F.broadcast(rows), "_k").groupBy("_k", "y", "part").agg(F.min(F.struct(*columns)).alias("_d"))
+    return one.select("y", "part", "_d.*")
