@@ -3,6 +3,7 @@ texts, ties, repeated rows and clashing extra columns, and on empty tables."""
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -22,7 +23,7 @@ from textloom.llm.queries import tokenizer_path
 from textloom.llm.substring import Index, substring_dedup
 from textloom.llm.suffixes import difference_cover, repeated_bytes
 from textloom.llm.tokens import encoder
-from textloom.llm.toxicity import toxicity
+from textloom.llm.toxicity import common_length, spread, toxicity
 
 #: The extra columns have the names of the operators' results.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, score double, n_words long, removed string, kept string, class_id long, id long, node long"
@@ -87,7 +88,28 @@ def test_difference_cover(q):
     assert len(cover) == q + 1 and {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def test_substring(spark, docs, rows, none):
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+#: Two words whose polynomial hashes modulo 2**64 are alike whatever the base.
+TWIN, OTHER = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+
+
+def test_twin_words_differ(spark):
+    w = K.Words(K.texts(pa.array([TWIN + " " + OTHER + " " + TWIN])), K.NON_SPACE)
+    h = w.hashes()
+    assert h[0] == h[2] != h[1]
+    rest = [f"w{i}" for i in range(12)]
+    df = spark.createDataFrame([(1, " ".join([TWIN, *rest])), (2, " ".join([OTHER, *rest])), (3, " ".join([TWIN, *rest]))], "doc_id long, text string")
+    assert {r.doc.doc_id: r.removed for r in substring_dedup(df).collect()} == {1: [], 2: [], 3: [(0, 13)]}
+    bench = spark.createDataFrame([(7, " ".join([TWIN, *rest[:9]]))], "item_id long, text string")
+    assert {r.doc.doc_id: r["items"] for r in contamination(df, bench).collect()} == {1: [7], 2: [], 3: [7]}
+
+
+@pytest.mark.parametrize("bits", [64, 20])
+def test_substring(spark, docs, rows, none, bits):
+    """With fingerprints of 20 bits too, whose chance matches the check has to turn down."""
     size = 4
     want = {}
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
@@ -102,7 +124,7 @@ def test_substring(spark, docs, rows, none):
             if least[tuple(w[s : s + size])] < key(i):
                 gone[s : s + size] = [1] * size
         want[i, t] = (len(w), spans(gone), " ".join(x for x, g in zip(w, gone) if not g))
-    got = substring_dedup(docs, size=size, batches=3).collect()
+    got = substring_dedup(docs, size=size, batches=3, index=Index(size, 6, key=77, hash_bits=bits)).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_words, [tuple(s) for s in r.removed], r.kept) == want[r.doc.doc_id, r.doc.text]
@@ -115,10 +137,41 @@ def test_substring_index_is_incremental(spark):
         i = len(index.runs) * 10 + ord(batch[0])
         df = spark.createDataFrame([(i, batch)], "doc_id long, text string")
         assert substring_dedup(df, size=3, index=index).first().kept == kept
-        index.compact(spark)
     assert len(index.runs) < 4
 
 
+def test_substring_of_one_hot_id(spark, monkeypatch):
+    """An id with most of the rows is split over chunks, and its rows don't remove one another's words."""
+    from textloom.llm import substring
+
+    r = random.Random(5)
+    rows = [(None if i % 3 else i, " ".join(r.choice("abcdefgh") for _ in range(3000))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = []
+    place = substring._chunks
+    monkeypatch.setattr(substring, "_chunks", lambda *a: split.append(a[-1]) or place(*a))
+    got = substring_dedup(df, size=13, batches=2).collect()
+    assert split[0] and all(not r.removed for r in got if r.doc.doc_id is None) and len(got) == 300
+
+
+def test_decontamination_with_colliding_hashes(monkeypatch, docs, rows, none, spark):
+    """Hashes of eight values change nothing: words are compared by their bytes."""
+    real = K.byte_hashes
+    weak = lambda *a: (real(*a) >> np.uint64(61)) << np.uint64(61)
+    from textloom.llm import decontaminate
+
+    texts = pa.array([t for _, t in rows])
+    items = pa.table({"item": pa.array([1, 2], pa.int64()), "text": pa.array([rows[3][1], rows[7][1]])})
+    found = []
+    for hashes in (real, weak):
+        monkeypatch.setattr(K, "byte_hashes", hashes)
+        block = decontaminate._block(items, 4)
+        pre = decontaminate._prefixes(block, np.ones(len(block.vocabulary.hash), np.int64))
+        w = K.Words(K.texts(texts).lower(), K.ALNUM)
+        found.append(sorted((int(s), x.size, int(i)) for starts, x, at in decontaminate._hits(w, block, pre) for s, a in zip(starts, at) for i in x.items[x.item_at[a] : x.item_at[a + 1]]))
+    assert found[0] and found[0] == found[1]
+
+
 def test_suffixes(docs, rows, none):
     size = 12
     body = [(i, t, (t or "").encode()) for i, t in rows]
@@ -383,13 +436,39 @@ def labelled(spark, n=300):
     return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
 
 
+def test_convolutions_decide_without_the_log_odds(spark):
+    """Toxic is a pair of words in order; both words alone occur in clean texts as well."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(1200):
+        w = [r.choice(["some", "plain", "words", "here", "that", "fill"]) for _ in range(12)]
+        k = r.randrange(11)
+        w[k : k + 2] = ["you", "worm"] if i % 2 else ["worm", "you"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for start in (True, False):
+        got = toxicity(frame(spark, rows), labels, learn=F.col("doc_id") % 3 != 1, start=start).select(F.col("doc.doc_id").alias("i"), "score").collect()
+        held = [x for x in got if x.i % 3 == 1]
+        assert sum((x.score >= 0.5) == bool(x.i % 2) for x in held) >= 0.9 * len(held), start
+
+
+def test_words_of_long_texts_are_spread():
+    assert spread(10, 20).tolist() == list(range(10))
+    at = spread(10_000, 1000)
+    assert len(at) <= 1000 and at[0] == 0 and at[-1] == 9999 and max(np.diff(at)) < 1500
+    sizes = np.array([5, 10, 1000, 4000])
+    assert common_length(sizes, 10_000) == 4000 and common_length(sizes, 1015) == 500 and common_length(sizes, 2) == 1
+
+
 @pytest.mark.parametrize(("operator", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, none, operator, label):
     d, labels = labelled(spark)
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0
     rows = operator(d, labels, learn=learn).select(F.col("doc.doc_id").alias("i"), "score").collect()
     assert len(rows) == 304 and all(0 <= r.score <= 1 for r in rows)
-    held = [r for r in rows if r.i is not None and r.i < 300]
+    held = [r for r in rows if r.i is not None and r.i < 300 and zlib.crc32(str(r.i).encode()) % 4 == 0]
+    assert len(held) > 50
     right = sum((r.score >= 0.5) == ((r.i % 3 == 0) == (label == "toxic")) for r in held)
     assert right >= 0.95 * len(held)
     again = {r.i: r.score for r in operator(d, labels, learn=learn).select(F.col("doc.doc_id").alias("i"), "score").collect()}

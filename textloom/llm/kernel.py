@@ -1,13 +1,15 @@
 """Vectorised text primitives over Arrow buffers: word spans and rolling hashes in numpy.
 
 A batch of texts is one byte array plus offsets. Words are maximal runs of bytes of a class
-(every class used here treats all bytes from 0x80 alike, so UTF-8 needs no decoding), and
-hashes are polynomial prefix sums modulo 2**64, finished by a bit mixer. Work goes piece by
-piece of about ``PIECE`` bytes, so memory follows the piece (or one long text), not the batch.
+(every class used here treats all bytes from 0x80 alike, so UTF-8 needs no decoding). A word's
+hash mixes it eight bytes at a time, starting from its length and a key; long words are hashed
+by BLAKE2b. Work goes piece by piece of about ``PIECE`` bytes, so memory follows the piece (or
+one long text), not the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +46,6 @@ class Texts:
     def lower(self) -> Texts:
         return Texts(_LOWER[self.data], self.offsets)
 
-    def bytes_of(self, i: int) -> bytes:
-        return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
-
 
 def texts(column: pa.Array) -> Texts:
     """Null texts become empty."""
@@ -101,15 +100,47 @@ class Words:
         """The text each word is in."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self, span: int | None = None) -> np.ndarray:
+    def hashes(self, span: int | None = None, key: int = 0) -> np.ndarray:
         """64-bit hash of each word; of its first ``span`` bytes if given, of its last if negative."""
-        sums = prefix_sums(self.texts.data)
         start, end = self.start, self.end
         if span is not None and span >= 0:
             end = np.minimum(end, start + span)
         elif span is not None:
             start = np.maximum(start, end + span)
-        return mix((sums[end] - sums[start]) * inverse_powers(len(sums))[start])
+        return byte_hashes(self.texts.data, start, end, key)
+
+
+_LONG = 64
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], _U)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hash of each byte range. Ranges of up to eight bytes and equal length never collide."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix((size.astype(_U) + _U(1)) * _U(_BASE) ^ _U(key))
+    rest = np.flatnonzero(size > 0)
+    at = 0
+    while len(rest):
+        left = size[rest] - at
+        h[rest] = mix(h[rest] ^ (eight[start[rest] + at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        at += 8
+        rest = rest[(left > 8) & (size[rest] <= _LONG)]
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=int(key).to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def equal_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each range of ``size`` bytes of ``a`` equals that of ``b``."""
+    same = np.ones(len(size), bool)
+    each = max(1, PIECE // max(int(size.max(initial=1)), 1))
+    for i in range(0, len(size), each):
+        own, j = ragged(size[i : i + each])
+        off = a[a_start[i : i + each][own] + j] != b[b_start[i : i + each][own] + j]
+        same[i + own[off]] = False
+    return same
 
 
 _power_cache: dict[int, np.ndarray] = {}
@@ -139,15 +170,6 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def byte_windows(data: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the ``size`` bytes from each position (from those of ``at`` if given)."""
-    sums = prefix_sums(data)
-    if at is None:
-        n = max(0, len(data) - size + 1)
-        return mix((sums[size : size + n] - sums[:n]) * inverse_powers(len(sums))[:n])
-    return mix((sums[at + size] - sums[at]) * inverse_powers(len(sums))[at])
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> _U(31))
     h *= _U(0xBF58476D1CE4E5B9)

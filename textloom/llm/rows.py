@@ -6,21 +6,22 @@ whatever columns the input has.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch; with whole texts in them a batch stays in the tens of megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, whichever comes first.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
@@ -28,10 +29,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def as_doc(docs: DataFrame, keep: Iterable[str]) -> DataFrame:
-    return docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), *[])
-
-
 def per_text(docs: DataFrame, text: str, keep: list[str], results: str, fn: Callable[[pa.Array], list[pa.Array]], extra: dict | None = None) -> DataFrame:
     """``doc`` (the columns ``keep``) and the columns of the DDL ``results``.
 

@@ -6,24 +6,11 @@ reread and never a recomputation of the whole job.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        found = _own[app]
-    return found.rstrip("/")
+from textloom.shared import shared_dir
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -42,7 +29,13 @@ def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any longer."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any longer."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
