@@ -7,8 +7,9 @@ of a range of sequences.
 
 1. Linear grouping: lengths over a share of the capacity are sorted and split into groups of
    equal cardinality, each rounded up to its longest.
-2. The few sizes left make a configuration problem; its linear relaxation is solved by column
-   generation (simplex on the groups, a knapsack for pricing) and rounded down.
+2. The few sizes left make a configuration problem; its linear relaxation is solved to the optimum
+   by column generation (simplex on the groups, a knapsack for pricing) and rounded down. Of
+   several shares, and portions of the configurations carried out, the best plan is taken.
 3. The groups' real pieces are put into the configurations' places, longest first.
 4. Pieces left over by rounding, then the small ones, go by decreasing length into the fullest
    sequence that has room (best fit), and only if there is none into a new one.
@@ -18,7 +19,9 @@ that wrote it, its length and its number there, so its rank among all pieces of
 one join with per-task counts.
 
 Edge cases: null and empty texts are a piece of the end id alone; repeated documents are packed
-one by one; an empty table makes no sequences; one document of any length becomes many pieces.
+one by one, pieces of one length in any order (ties don't change the number of sequences); an
+empty table makes no sequences; a document of any length becomes as many pieces as it needs; other
+columns are carried in ``doc`` whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from textloom.llm import store
 from textloom.llm.rows import quoted, small_batches
 from textloom.llm.tokens import encoder
 
-SHARES, GROUPS = (1 / 2, 2 / 5, 1 / 4), 64
+SHARES, PORTIONS, GROUPS = (1 / 4, 1 / 3, 1 / 2), (1.0, 1 / 4, 1 / 8), 64
 
 
 # --- the plan -----------------------------------------------------------------------------------
@@ -78,13 +81,13 @@ def best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int) -> t
     return total, content
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations with the number of sequences that get each: the linear optimum, rounded down."""
     m = len(sizes)
     if not m:
         return []
     basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(rounds):
+    while True:
         inverse = np.linalg.inv(basis)
         dual = inverse.sum(axis=0)
         value, column = best_configuration(sizes, dual, capacity)
@@ -107,18 +110,28 @@ class Plan:
     sequence: np.ndarray
     offset: np.ndarray
     sequences: int
+    configured: int
 
 
-def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, shares: tuple[float, ...] = SHARES) -> Plan:
+def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, shares: tuple[float, ...] = SHARES, portions: tuple[float, ...] = PORTIONS) -> Plan:
     """``counts``: pieces of each length from 0 to ``capacity``.
 
-    The share of the capacity beyond which a piece is large trades the configurations' quality
-    against the loss by rounding up, so several are tried and the fewest sequences win.
+    The share of the capacity beyond which a piece is large, and the portion of the configurations
+    that is carried out, trade their quality against the loss by rounding up: a place is as long
+    as its group's longest piece, and what a shorter one leaves must find a small piece. So several
+    are tried; the fewest sequences win, and of equal plans the one with the most pieces in
+    configurations of several.
     """
-    return min((_plan(counts, capacity, groups, s) for s in shares), key=lambda p: p.sequences)
+    tried = []
+    for share in shares:
+        for portion in portions:
+            tried.append(_plan(counts, capacity, groups, share, portion))
+            if not tried[-1].configured:
+                break
+    return min(tried, key=lambda p: (p.sequences, -p.configured))
 
 
-def _plan(counts: np.ndarray, capacity: int, groups: int, small: float) -> Plan:
+def _plan(counts: np.ndarray, capacity: int, groups: int, small: float, portion: float = 1.0) -> Plan:
     runs: list[tuple[int, int, int, int]] = []
     used = np.zeros(capacity + 1, np.int64)
     rest = counts.astype(np.int64).copy()
@@ -139,7 +152,10 @@ def _plan(counts: np.ndarray, capacity: int, groups: int, small: float) -> Plan:
     sizes = np.unique(top[top > 0])
     demand = np.array([counts[top == s].sum() for s in sizes])
     queues = {int(s): [int(x) for x in np.flatnonzero(top == s)[::-1]] for s in sizes}
+    configured = 0
     for content, n in configurations(sizes, demand, capacity):
+        n = int(n * portion)
+        configured += n * int(content.sum()) if content.sum() > 1 else 0
         first, n_sequences = n_sequences, n_sequences + n
         parts = [(first, n, 0)]
         for s in np.repeat(sizes, content)[::-1]:
@@ -173,7 +189,7 @@ def _plan(counts: np.ndarray, capacity: int, groups: int, small: float) -> Plan:
             _fill(rest, put, open_room, length, first, many, capacity, capacity)
     r = np.array(runs, np.int64).reshape(-1, 4)
     r = r[np.lexsort((r[:, 1], r[:, 0]))]
-    return Plan(*r.T, n_sequences)
+    return Plan(*r.T, n_sequences, configured)
 
 
 def _fill(rest, put, open_room, length: int, at: int, many: int, room: int, capacity: int) -> None:
