@@ -323,6 +323,26 @@ def test_neighbours(spark):
     assert neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_route_by_prefix(spark):
+    """Among clustered vectors a query visits a small share of the rows; recall is that of all rows."""
+    g = np.random.default_rng(8)
+    centres = g.normal(size=(150, 32))
+    x = np.repeat(centres, 40, axis=0) + 0.15 * g.normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(np.float64)
+    report = {}
+    got = {}
+    for r in neighbours(df, F.col("vec_id") % 50 == 0, report=report).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 6000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert hit >= 0.9 * 600 and report["share"] < 0.5 and report["floor"] > 0
+
+
 def test_neighbours_of_repeated_rows(spark):
     """Six repeats of a query row don't hide a twin with another id, whose repeats are rows."""
     rows = [(1, [1.0, 0.0])] * 6 + [(2, [1.0, 0.0])] * 2 + [(3, [1.0, 0.1]), (4, [1.0, 0.2]), (5, [0.0, 1.0])]
