@@ -1,9 +1,10 @@
-"""Repeated byte strings by blockwise suffix sorting with difference-cover samples.
+"""Repeated byte strings by blockwise suffix bucketing with difference-cover samples.
 
 Only whether suffixes agree in their first ``size`` bytes matters here, so suffixes are ordered by
-the 64-bit fingerprint of those bytes and two are tied if it is equal. For any two positions a
-difference cover modulo ``period`` has a common shift below ``period`` that takes both to sampled
-positions; the strings of ``size - period + 1`` bytes from there lie within the first ``size``.
+the 64-bit fingerprint of those bytes, not by the bytes, and two are tied if fingerprint and a
+32-bit check of the same bytes are equal. For any two positions a difference cover modulo
+``period`` has a common shift below ``period`` that takes both to sampled positions; the strings
+of ``size - period + 1`` bytes from there lie within the first ``size``.
 
 1. The samples (a few per cent of all positions) are ranked: each learns whether its string is
    tied with another's. They are dealt to buckets by fingerprint, as sorted runs from each chunk.
@@ -13,16 +14,21 @@ positions; the strings of ``size - period + 1`` bytes from there lie within the
 3. Each byte in the first ``size`` bytes of a tied suffix is removed.
 
 The cover is a Singer difference set, from a primitive cubic over a prime field: q + 1 residues
-modulo q * q + q + 1 that have each difference exactly once.
+modulo q * q + q + 1 that have each difference exactly once. Fingerprint and check are polynomials
+of the bytes modulo three primes, at points drawn for each call, so texts can't be made to collide
+beforehand.
 
-Edge cases: null texts are empty; shorter texts than ``size`` stay whole; matches never cross
-documents but may overlap in one; repeated rows match one another; an empty table gives an empty
-result; other columns are carried in ``doc``. One text must fit a task's memory about thirtyfold.
+Texts are dealt to chunks at random, in a table that all passes read, so repeated rows spread out.
+
+Edge cases: null and empty texts are empty; shorter texts than ``size`` stay whole; matches never
+cross documents but may overlap in one; repeated rows match one another, and each keeps what is
+left; an empty table gives an empty result; other columns are carried in ``doc`` whatever their
+names. A very long text is one chunk's, whole: it must fit a task's memory about fortyfold.
 """
 
 from __future__ import annotations
 
-import gc
+import secrets
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +43,7 @@ from textloom.llm import runs as R
 from textloom.llm import store
 from textloom.llm.rows import quoted
 
-CHUNK, BLOCKS = 2 << 20, 4
+CHUNK, BLOCKS = 2 << 20, 3
 _FOUND = "bucket int, chunk int, bits binary"
 
 
@@ -69,14 +75,46 @@ def cover_for(size: int) -> tuple[int, tuple[int, ...]]:
     return difference_cover(fitting[-1]) if fitting else (1, (0,))
 
 
+#: The three largest primes below 2 ** 31. Fixed values.
+PRIMES = (2147483647, 2147483629, 2147483587)
+_U = np.uint64
+
+
+@lru_cache(maxsize=12)
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate([out, out * _U(pow(base, len(out), prime)) % _U(prime)])
+    return out
+
+
+class Rolling:
+    """Polynomials of any byte range modulo each prime."""
+
+    def __init__(self, data: np.ndarray, key: int):
+        points = np.random.default_rng(key).integers(1 << 20, min(PRIMES) - 1, len(PRIMES)).tolist()
+        room = 1 << max(int(len(data)).bit_length(), 20)
+        self.inverse = [_powers(pow(x, -1, p), p, room) for x, p in zip(points, PRIMES)]
+        self.sums = []
+        for x, p in zip(points, PRIMES):
+            terms = (data.astype(_U) + _U(1)) * _powers(x, p, room)[: len(data)]
+            if len(data) >> 24:
+                terms %= _U(p)
+            self.sums.append(np.concatenate([np.zeros(1, _U), np.cumsum(terms)]))
+
+    def __call__(self, at: np.ndarray, size: int, k: int) -> np.ndarray:
+        p, sums = _U(PRIMES[k]), self.sums[k]
+        return (sums[at + size] - sums[at]) % p * self.inverse[k][at] % p
+
+
 class Chunk:
     """Some texts, and what pass by pass is known of their suffixes."""
 
-    def __init__(self, table: pa.Table, size: int):
-        self.size = size
+    def __init__(self, table: pa.Table, size: int, key: int, hash_bits: int = 64):
+        self.size, self.drop = size, _U(64 - hash_bits)
         self.period, residues = cover_for(size)
         self.texts = K.texts(table.column("text").combine_chunks())
-        self.sums = K.prefix_sums(self.texts.data)
+        self.rolling = Rolling(self.texts.data, key)
         lengths = np.diff(self.texts.offsets)
         n = len(self.texts.data)
         self.inside = (np.arange(n) - np.repeat(self.texts.offsets[:-1], lengths)).astype(np.int64)
@@ -86,7 +124,10 @@ class Chunk:
         self.sample = np.flatnonzero(table_[self.inside % self.period] & (self.left >= size - self.period + 1))
 
     def fingerprints(self, at: np.ndarray, size: int) -> np.ndarray:
-        return K.mix((self.sums[at + size] - self.sums[at]) * K.inverse_powers(len(self.sums))[at])
+        return K.mix(self.rolling(at, size, 0) << _U(31) | self.rolling(at, size, 1)) >> self.drop << self.drop
+
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        return self.rolling(at, self.size, 2).astype(np.uint32)
 
     def samples(self) -> np.ndarray:
         return self.fingerprints(self.sample, self.size - self.period + 1)
@@ -100,37 +141,39 @@ class Chunk:
         return at[before[at + self.period] > before[at]]
 
 
-def _ties(fp: np.ndarray, found: pa.Table, bits: int) -> np.ndarray:
-    """Whether each fingerprint occurs again, in this chunk or by the buckets' answers."""
-    known, which, counts = np.unique(fp, return_inverse=True, return_counts=True)
-    return ((counts > 1) | R.answers(found, R.bucket_counts(known, bits)))[which]
+def _ties(fp: np.ndarray, check: np.ndarray, found: pa.Table, bits: int) -> np.ndarray:
+    """Whether each entry occurs again, in this chunk or by the buckets' answers."""
+    order, new = R.ordered(fp, check)
+    which = np.empty(len(fp), np.int64)
+    which[order] = np.cumsum(new) - 1
+    several = np.bincount(which, minlength=int(new.sum())) > 1
+    return (several | R.answers(found, R.bucket_counts(fp[order][new], bits)))[which]
 
 
 def _exchange(sent: DataFrame, bits: int, name: str) -> DataFrame:
-    """For each chunk's sorted run in a bucket, which fingerprints other chunks have too."""
+    """For each chunk's sorted run in a bucket, which entries other chunks have too."""
 
     def meet(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
-        runs = R.blobs(table, b, bits)
-        every, order = R.merged(runs)
-        same = every[1:] == every[:-1]
-        flags = np.empty(len(every), bool)
+        runs = R.checked_blobs(table, b, bits)
+        fp, check = (np.concatenate(x) for x in zip(*runs))
+        order, new = R.ordered(fp, check)
+        same = ~new[1:]
+        flags = np.empty(len(fp), bool)
         flags[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        at = np.concatenate([[0], np.cumsum([len(x) for x in runs])])
+        at = np.concatenate([[0], np.cumsum([len(x) for x, _ in runs])])
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "bits": pa.array([R.pack_bits(flags[i:j]) for i, j in zip(at[:-1], at[1:])], pa.binary())})
 
-    out = store.written(sent.groupBy("bucket").applyInArrow(meet, _FOUND), name)
-    gc.collect()
-    sent.sparkSession._jvm.System.gc()
-    return out
+    return store.written(sent.groupBy("bucket").applyInArrow(meet, _FOUND), name)
 
 
-def _runs(chunk: int, fp: np.ndarray, bits: int) -> pa.Table:
-    sent = R.encode(np.unique(fp), bits)
+def _runs(chunk: int, fp: np.ndarray, check: np.ndarray, bits: int) -> pa.Table:
+    order, new = R.ordered(fp, check)
+    sent = R.encode(fp[order][new], bits, check[order][new])
     return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()), "chunk": pa.array([chunk] * len(sent), pa.int32()), "run": pa.array([x for _, x in sent], pa.binary())})
 
 
-def repeated_bytes(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, size: int = 200, blocks: int = BLOCKS) -> DataFrame:
+def repeated_bytes(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, size: int = 200, blocks: int = BLOCKS, hash_bits: int = 64) -> DataFrame:
     """Per document: ``doc`` (its columns ``keep``), ``n_bytes``, ``removed`` (byte ranges, each
     a maximal run) and ``kept`` (the bytes left)."""
     keep = docs.columns if keep is None else keep
@@ -139,35 +182,46 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
     each = min(CHUNK, max(1 << 18, volume // 64))
     chunks = 1 + int(volume // each)
     bits = R.bucket_bits(volume / 10)
-    place = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in keep if docs.schema[c].dataType.typeName() in ("long", "integer", "string")], body), F.lit(chunks)).cast("int")
-    rows = docs.select(place.alias("chunk"), F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), body.alias("text"))
+    key = secrets.randbits(63)
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    rows = store.written(docs.select(place.alias("chunk"), F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), body.alias("text")), "chunks")
     bare = rows.select("chunk", "text")
     schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL("n_bytes long, removed array<struct<start:long,end:long>>, kept binary").fields])
     empty = to_arrow_schema(schema).empty_table()
     sent_type = "bucket int, chunk int, run binary"
 
+    def chunk_of(table: pa.Table) -> Chunk:
+        return Chunk(table, size, key, hash_bits)
+
+    def no_checks(fp: np.ndarray) -> np.ndarray:
+        return np.zeros(len(fp), np.uint32)
+
     def send_samples(table: pa.Table) -> pa.Table:
-        return _runs(table.column("chunk")[0].as_py(), Chunk(table, size).samples(), bits)
+        fp = chunk_of(table).samples()
+        return _runs(table.column("chunk")[0].as_py(), fp, no_checks(fp), bits)
 
     ranks = _exchange(bare.groupBy("chunk").applyInArrow(send_samples, sent_type), bits, "ranks")
 
-    def open_fingerprints(c: Chunk, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        at = c.open_suffixes(_ties(c.samples(), found, bits))
-        return at, c.fingerprints(at, size)
+    def open_entries(c: Chunk, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fp = c.samples()
+        at = c.open_suffixes(_ties(fp, no_checks(fp), found, bits))
+        return at, c.fingerprints(at, size), c.checks(at)
 
     def block_sender(low: int, high: int):
         def send_block(table: pa.Table, found: pa.Table) -> pa.Table:
             if not table.num_rows:
-                return _runs(0, np.zeros(0, np.uint64), bits)
-            _, fp = open_fingerprints(Chunk(table, size), found)
+                return _runs(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32), bits)
+            _, fp, check = open_entries(chunk_of(table), found)
             lead = fp >> np.uint64(48)
-            return _runs(table.column("chunk")[0].as_py(), fp[(lead >= low) & (lead < high)], bits)
+            own = (lead >= low) & (lead < high)
+            return _runs(table.column("chunk")[0].as_py(), fp[own], check[own], bits)
 
         return send_block
 
     ties = None
     for block in range(blocks):
-        low, high = (-(-(k << 16) // blocks) for k in (block, block + 1))
+        # Whole buckets, so that a chunk has one answer from each.
+        low, high = ((-(-(k << bits) // blocks)) << (16 - bits) for k in (block, block + 1))
         sent = bare.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(block_sender(low, high), sent_type)
         part = _exchange(sent, bits, "ties")
         ties = part if ties is None else ties.unionByName(part)
@@ -175,10 +229,10 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return empty
-        c = Chunk(table, size)
+        c = chunk_of(table)
         rank = found.column("of").to_numpy() == 0
-        at, fp = open_fingerprints(c, found.filter(pa.array(rank)))
-        gone = K.covered(len(c.texts.data), at[_ties(fp, found.filter(pa.array(~rank)), bits)], size)
+        at, fp, check = open_entries(c, found.filter(pa.array(rank)))
+        gone = K.covered(len(c.texts.data), at[_ties(fp, check, found.filter(pa.array(~rank)), bits)], size)
         offsets, n = c.texts.offsets, len(c.texts.data)
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
