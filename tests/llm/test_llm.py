@@ -172,11 +172,13 @@ def test_decontamination_with_colliding_hashes(monkeypatch, docs, rows, none, sp
     assert found[0] and found[0] == found[1]
 
 
-def test_suffixes(docs, rows, none):
+@pytest.mark.parametrize("bits", [64, 20])
+def test_suffixes(docs, rows, none, bits):
+    """With fingerprints of 20 bits too, whose chance matches the check has to turn down."""
     size = 12
     body = [(i, t, (t or "").encode()) for i, t in rows]
     n = Counter(b[s : s + size] for *_, b in body for s in range(len(b) - size + 1))
-    got = {(r.doc.doc_id, r.doc.text): r for r in repeated_bytes(docs, size=size, blocks=2).collect()}
+    got = {(r.doc.doc_id, r.doc.text): r for r in repeated_bytes(docs, size=size, blocks=3, hash_bits=bits).collect()}
     for i, t, b in body:
         gone = [0] * len(b)
         for s in range(len(b) - size + 1):
@@ -271,6 +273,54 @@ def test_neardup(docs, rows, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_neardup_against_all_pairs(spark):
+    """Classes are those of the links that comparing all pairs finds, but for one in ten at most."""
+    r = random.Random(21)
+    texts = []
+    for i in range(60):
+        w = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(r.randint(30, 120))]
+        texts.append(" ".join(w))
+        for _ in range(r.randint(0, 3)):
+            v = w[:]
+            for p in r.sample(range(len(v)), r.randint(1, 4)):
+                v[p] = "".join(r.choice("xyz") for _ in range(4))
+            texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = neardup.idf_table(df, "text")
+    sets = neardup._sets(pa.array(texts), idf)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similarity(sets[i], sets[j]) >= 0.8]
+    # The similarity itself, from the texts.
+    for i, j in near[:20]:
+        weights = []
+        for k in (i, j):
+            w = texts[k].split()
+            weights.append(Counter(tuple(w[s : s + 5]) for s in range(len(w) - 4)))
+        both = sum((weights[0] & weights[1]).values()) / sum((weights[0] | weights[1]).values())
+        assert both > 0.7
+    for i, j in near:
+        root[find(i)] = find(j)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(find(i), i)
+    got = {x.doc.doc_id: x.class_id for x in near_duplicates(df).collect()}
+    assert all(least[find(i)] == least[find(got[i])] for i in got)
+    assert len(near) > 30 and sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+
+
+def test_neardup_ids_at_the_limit(spark):
+    df = spark.createDataFrame([((1 << 63) - 1, "a b c"), (None, "a b c"), (None, "x"), (None, "x")], "doc_id long, text string")
+    got = sorted((x.doc.text, x.doc.doc_id is None, x.class_id) for x in near_duplicates(df).collect() if x.doc.text != "x")
+    assert got == [("a b c", False, (1 << 63) - 1), ("a b c", True, None)]
+    assert [x.class_id for x in near_duplicates(df).where("doc.text = 'x'").collect()] == [None, None]
+
+
 def test_neardup_chains(spark):
     """A chain of texts each near the next joins into one class; far ones stay apart."""
     r = random.Random(3)

@@ -17,7 +17,6 @@ import pyarrow as pa
 
 PIECE = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORDS = 0xD6E8FEB86659FD93
 _U = np.uint64
 
@@ -143,33 +142,6 @@ def equal_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.n
     return same
 
 
-_power_cache: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _power_cache.get(base)
-    if have is None or len(have) < n:
-        size = max(n, PIECE + (PIECE >> 2))
-        have = np.full(size, base, _U)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 8 * PIECE:
-            _power_cache[base] = have
-    return have[:n]
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    return _powers(_INVERSE, n)
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """sums[j] - sums[i] times the inverse power of i is the polynomial hash of bytes i to j."""
-    sums = np.zeros(len(data) + 1, _U)
-    np.multiply(data.astype(_U) + _U(1), _powers(_BASE, len(data)), out=sums[1:])
-    np.cumsum(sums, out=sums)
-    return sums
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> _U(31))
     h *= _U(0xBF58476D1CE4E5B9)

@@ -19,9 +19,11 @@ Equal texts are one node. Buckets are never expanded into all pairs:
 
 So every link between texts that share a bucket joins texts of one class. Every document gets the class of its component.
 
-Edge cases: equal texts are duplicates even without any word; null texts are each alone; null ids
-are allowed; repeated rows are rows of the result; an empty table gives an empty result; other
-columns are carried in ``doc``.
+Edge cases: equal texts are duplicates even without any word, so empty ones are one class; null
+texts are each alone; null ids are allowed and count as the
+largest, 2^63 - 1, and such a row whose class has no smaller one gets no ``class_id``; repeated rows are rows of the
+result; ties of ids within a class give it that id; very long texts are compared whole; an empty
+table gives an empty result; other columns are carried in ``doc`` whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from textloom.llm import store
 from textloom.llm.rows import quoted, small_batches
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
-WORD_BITS, POOL, BLOCK, SALTS = 18, 1 << 12, 1024, 64
+WORD_BITS, POOL, BLOCK, GROUP = 18, 1 << 12, 1024, 512
 _U = np.uint64
 
 
@@ -171,7 +173,9 @@ def _sketches(nodes: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataF
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The pairs (``a``, ``b``) whose similarity reaches the threshold."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    # A text compared with many gets as many groups as keep each of a bounded size.
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    salted = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups"))).drop("groups")
     left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").toDF("left_a", "left_salt", "left_text")
     right = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text").toDF("right_a", "right_salt", "b", "text")
 
@@ -198,7 +202,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
         step = step.join(jump, "root").select("node", F.least("root", "next").alias("root"), "was")
         after = store.written(step, "labels")
+        store.drop(labels)
         if not after.where("root <> was").limit(1).count():
+            store.drop(both)
             return after.select("node", "root")
         labels = after.select("node", "root")
 
@@ -302,10 +308,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     classes = comps.join(sketches.select("node", "id"), "node")
     least_id = classes.groupBy("root").agg(F.min("id").alias("class_id"))
     classes = store.written(classes.join(least_id, "root").select("node", "class_id", "root"), "classes")
-    d = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), F.when(body.isNotNull(), F.xxhash64(body)).alias("node"), ident.alias("id"))
+    d = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), F.when(body.isNotNull(), F.xxhash64(body)).alias("node"), ident.alias("id"), F.col(quoted(key)).isNull().alias("nameless"))
     d = d.join(sketches.select("node", F.col("id").alias("own")), "node", "left").join(classes, "node", "left")
     class_id = F.coalesce("class_id", "own", "id")
-    return d.select("doc", F.when(class_id != (1 << 63) - 1, class_id).alias("class_id"), F.coalesce("root", "node").alias("component"), "id")
+    # A class of nothing but rows without an id has none either.
+    return d.select("doc", F.when(~(F.col("nameless") & (class_id == (1 << 63) - 1)), class_id).alias("class_id"), F.coalesce("root", "node").alias("component"), "id")
 
 
 def one_of_each(groups: DataFrame) -> DataFrame:

@@ -141,6 +141,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS INTEGER), 400)) AS k FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 200)) AS i FROM d WHERE length(h) >= 400)),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM s) WHERE c > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM t),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+span AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM span UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id),
+left_ AS (SELECT doc_id, string_agg(substr(h, CAST(2 * x + 1 AS INTEGER), CAST(2 * (coalesce(y, length(h) // 2) - x) AS INTEGER)), '' ORDER BY x) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN left_ USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring": op2_substring,
@@ -154,4 +168,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op4_lines": OP4_SQL, "op2_substring": OP2_SQL, "op7_chat": OP7_SQL, "op8_decontaminate": OP8_SQL}
+SQL: dict[str, str] = {"op4_lines": OP4_SQL, "op2_substring": OP2_SQL, "op7_chat": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_suffixes": OP9_SQL}

@@ -5,7 +5,7 @@ each (the sixteen leading bits follow from the bucket and from a table of counts
 bucket's reducer merges the runs of all chunks and answers each with one bit for each fingerprint,
 in the same order; a chunk knows its fingerprints again by computing them again.
 
-An entry may carry a check of two bytes, from a hash of its own: entries are the same only if both
+An entry may carry a check of four bytes, from a hash of its own: entries are the same only if both
 fingerprint and check are.
 """
 
@@ -47,7 +47,7 @@ def encode(sorted_: np.ndarray, bits: int, check: np.ndarray | None = None) -> l
         at = edge[b * each : (b + 1) * each + 1]
         if at[-1] > at[0]:
             own = slice(at[0], at[-1])
-            out.append((b, np.diff(at).astype("<u4").tobytes() + low[own].tobytes() + (check[own].astype("<u2").tobytes() if check is not None else b"")))
+            out.append((b, np.diff(at).astype("<u4").tobytes() + low[own].tobytes() + (check[own].astype("<u4").tobytes() if check is not None else b"")))
     return out
 
 
@@ -57,7 +57,7 @@ def decode(bucket: int, blob: bytes | memoryview, bits: int) -> np.ndarray:
 
 def decode_checked(bucket: int, blob: bytes | memoryview, bits: int) -> tuple[np.ndarray, np.ndarray]:
     fp, at = _decode(bucket, blob, bits)
-    return fp, np.frombuffer(blob, "<u2", len(fp), offset=at)
+    return fp, np.frombuffer(blob, "<u4", len(fp), offset=at)
 
 
 def _decode(bucket: int, blob: bytes | memoryview, bits: int) -> tuple[np.ndarray, int]:

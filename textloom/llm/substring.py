@@ -2,7 +2,7 @@
 
 The index is a list of immutable runs. A run is a table of buckets (leading bits of the
 fingerprint), each a sorted blob of the windows of ``size`` words that were new when the run was
-made: a 64-bit fingerprint, and a check of 16 bits from a second hash under another key. A batch of
+made: a 64-bit fingerprint, and a check of 32 bits from a second hash under another key. A batch of
 documents is cut into chunks by document id; each chunk sends its sorted distinct entries to the
 buckets, where they are merge-joined with the runs there and with each other in chunk order, and
 a match of fingerprints is verified by its check. What is found earlier comes back as bits, the
@@ -86,7 +86,7 @@ class Index:
 
 def _together(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     fps, checks = zip(*runs) if runs else ((), ())
-    return np.concatenate([np.zeros(0, np.uint64), *fps]), np.concatenate([np.zeros(0, np.uint16), *checks])
+    return np.concatenate([np.zeros(0, np.uint64), *fps]), np.concatenate([np.zeros(0, np.uint32), *checks])
 
 
 @dataclass
@@ -104,7 +104,7 @@ def _windows(table: pa.Table, index: Index) -> Windows:
     w = K.Words(K.texts(table.column("text").combine_chunks()), K.NON_SPACE)
     start = K.windows(w.first, index.size)
     of = lambda key: K.sequences(w.hashes(key=key), index.size)[start] if len(start) else np.zeros(0, np.uint64)
-    fp, check = of(index.key), (of(index.key ^ 0x5DEECE66D) >> np.uint64(48)).astype(np.uint16)
+    fp, check = of(index.key), (of(index.key ^ 0x5DEECE66D) >> np.uint64(32)).astype(np.uint32)
     if index.hash_bits < 64:
         fp = fp >> np.uint64(64 - index.hash_bits) << np.uint64(64 - index.hash_bits)
     order, new = R.ordered(fp, check)
