@@ -2,7 +2,7 @@
 
 The index is a list of immutable runs. A run is a table of buckets (leading bits of the
 fingerprint), each a sorted blob of the windows of ``size`` words that were new when the run was
-made: a 64-bit fingerprint, and a check of 32 bits from a second hash under another key. A batch of
+made: a 64-bit fingerprint, and a check of 16 bits from a second hash under another key. A batch of
 documents is cut into chunks by document id; each chunk sends its sorted distinct entries to the
 buckets, where they are merge-joined with the runs there and with each other in chunk order, and
 a match of fingerprints is verified by its check. What is found earlier comes back as bits, the
@@ -41,7 +41,7 @@ from textloom.llm import runs as R
 from textloom.llm import store
 from textloom.llm.rows import quoted
 
-BATCH_BYTES, BATCHES = 40 << 30, 3
+BATCH_BYTES, BATCHES = 40 << 30, 2
 _RUN = "bucket int, chunk int, data binary, n long"
 
 
@@ -86,7 +86,7 @@ class Index:
 
 def _together(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     fps, checks = zip(*runs) if runs else ((), ())
-    return np.concatenate([np.zeros(0, np.uint64), *fps]), np.concatenate([np.zeros(0, np.uint32), *checks])
+    return np.concatenate([np.zeros(0, np.uint64), *fps]), np.concatenate([np.zeros(0, np.uint16), *checks])
 
 
 @dataclass
@@ -104,7 +104,7 @@ def _windows(table: pa.Table, index: Index) -> Windows:
     w = K.Words(K.texts(table.column("text").combine_chunks()), K.NON_SPACE)
     start = K.windows(w.first, index.size)
     of = lambda key: K.sequences(w.hashes(key=key), index.size)[start] if len(start) else np.zeros(0, np.uint64)
-    fp, check = of(index.key), (of(index.key ^ 0x5DEECE66D) >> np.uint64(32)).astype(np.uint32)
+    fp, check = of(index.key), (of(index.key ^ 0x5DEECE66D) >> np.uint64(48)).astype(np.uint16)
     if index.hash_bits < 64:
         fp = fp >> np.uint64(64 - index.hash_bits) << np.uint64(64 - index.hash_bits)
     order, new = R.ordered(fp, check)
@@ -156,8 +156,8 @@ def _chunks(docs: DataFrame, text: str, key: str, keep: list[str], low, high, bo
     return rows
 
 
-def _batch(rows: DataFrame, index: Index) -> tuple[str, int]:
-    """Write the batch's bits and its new run; the path, and how many fingerprints are new."""
+def _batch(rows: DataFrame, index: Index, run: bool = True) -> tuple[str, int]:
+    """Write the batch's bits and, if asked for, its new run; the path, and how many entries are new."""
     size, bits, spark = index.size, index.bits, rows.sparkSession
 
     def emit(table: pa.Table) -> pa.Table:
@@ -185,7 +185,7 @@ def _batch(rows: DataFrame, index: Index) -> tuple[str, int]:
         fresh = first & (order >= n_old)
         at = n_old + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         data = [R.pack_bits(flags[i:j]) for i, j in zip(at[:-1], at[1:])]
-        own = [x for _, x in R.encode(fp[order][fresh], bits, check[order][fresh])] if fresh.any() else []
+        own = [x for _, x in R.encode(fp[order][fresh], bits, check[order][fresh])] if run and fresh.any() else []
         return pa.table({
             "bucket": pa.array([b] * (len(data) + len(own)), pa.int32()),
             "chunk": pa.array(table.column("chunk").to_pylist() + [-1] * len(own), pa.int32()),
@@ -257,7 +257,7 @@ def substring_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     k = F.coalesce(F.col(quoted(key)).cast("long"), F.lit(-(1 << 63)))
     volume, rows = docs.select(F.sum(F.octet_length(F.col(quoted(text)).cast("string"))), F.count("*")).first()
     volume = volume or 0
-    batches = max(1, min(batches, rows), int(volume // BATCH_BYTES) + 1)
+    batches, last = max(1, min(batches, rows), int(volume // BATCH_BYTES) + 1), index is None
     index = index or Index(size, R.bucket_bits(volume / 6 / batches))
     each = min(4 << 20, max(1 << 18, volume // (batches * 48)))
     per_batch = max(1, min(10_000, int(volume // (batches * each))))
@@ -271,7 +271,8 @@ def substring_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     for low, high in zip(edges[:-1], edges[1:]):
         inner = [b for b in bounds if (low is None or b > low) and (high is None or b < high)]
         part = _chunks(docs, text, key, keep, low, high, inner, parts)
-        path, n = _batch(part, index)
+        # Nobody asks an index of the call's own after its last batch.
+        path, n = _batch(part, index, run=not (last and high is None))
         index.add(path, n)
         done = _removed(part, path, index)
         out = done if out is None else out.unionByName(done)

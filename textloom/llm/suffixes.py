@@ -2,7 +2,7 @@
 
 Only whether suffixes agree in their first ``size`` bytes matters here, so suffixes are ordered by
 the 64-bit fingerprint of those bytes, not by the bytes, and two are tied if fingerprint and a
-32-bit check of the same bytes are equal. For any two positions a difference cover modulo
+16-bit check of the same bytes are equal. For any two positions a difference cover modulo
 ``period`` has a common shift below ``period`` that takes both to sampled positions; the strings
 of ``size - period + 1`` bytes from there lie within the first ``size``.
 
@@ -127,7 +127,7 @@ class Chunk:
         return K.mix(self.rolling(at, size, 0) << _U(31) | self.rolling(at, size, 1)) >> self.drop << self.drop
 
     def checks(self, at: np.ndarray) -> np.ndarray:
-        return self.rolling(at, self.size, 2).astype(np.uint32)
+        return (self.rolling(at, self.size, 2) >> _U(15)).astype(np.uint16)
 
     def samples(self) -> np.ndarray:
         return self.fingerprints(self.sample, self.size - self.period + 1)
@@ -194,7 +194,7 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
         return Chunk(table, size, key, hash_bits)
 
     def no_checks(fp: np.ndarray) -> np.ndarray:
-        return np.zeros(len(fp), np.uint32)
+        return np.zeros(len(fp), np.uint16)
 
     def send_samples(table: pa.Table) -> pa.Table:
         fp = chunk_of(table).samples()
@@ -210,7 +210,7 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
     def block_sender(low: int, high: int):
         def send_block(table: pa.Table, found: pa.Table) -> pa.Table:
             if not table.num_rows:
-                return _runs(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32), bits)
+                return _runs(0, np.zeros(0, np.uint64), np.zeros(0, np.uint16), bits)
             _, fp, check = open_entries(chunk_of(table), found)
             lead = fp >> np.uint64(48)
             own = (lead >= low) & (lead < high)
