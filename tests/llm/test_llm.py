@@ -1,8 +1,10 @@
 """Each operator against brute force or an exact round trip, on rows with nulls, empty and long
 texts, ties, repeated rows and clashing extra columns, and on empty tables."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, neardup, packing, runs
+from textloom.llm import chat, neardup, packing, queries, runs
 from textloom.llm import kernel as K
 from textloom.llm.decontaminate import contamination
 from textloom.llm.lines import line_dedup
@@ -545,3 +547,131 @@ def test_classifiers(spark, none, operator, label):
     assert all(again[r.i] == pytest.approx(r.score, abs=1e-6) for r in rows)
     assert operator(none, labels).count() == 0
     assert operator(d, labels.limit(0)).select("score").distinct().count() == 1
+
+
+# --- the registered queries and the pipeline's stages, on a folder of tables -----------------------
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Small tables with nulls, empty and very long texts, ties, repeats and clashing columns."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    r = random.Random(33)
+    words = [f"word{i}" for i in range(400)]
+    passage = " ".join(r.sample(words, 60))
+    texts = [" ".join(r.choices(words, k=r.randint(20, 80))) + ("" if i % 3 else " !! vile junk") for i in range(60)]
+    texts[5] += " " + passage
+    texts[9] += " " + passage
+    texts[12] = texts[11]
+    texts += [None, "", " ".join(r.choices(words, k=400_000)), "né " * 40, "first line here\nsecond line here\nthird", "first line here\nsecond line here\nother"]
+    rows = [(i, t, ("en", "de", None)[i % 3], "hot", None if t is None else len(t), "clash") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, doc string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(texts[20].split()[:15])), (2, None), (3, "word1 word2"), (3, "word1 word2")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    g = np.random.default_rng(2)
+    spark.createDataFrame([(i, g.normal(size=6).astype(float).tolist()) for i in range(120)] + [(50, None), (51, [0.0] * 6)], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "hi <s>"), (1, 1, "assistant", None), (2, 0, "assistant", "x" * 3000)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def empty_folder(spark, folder, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("empty"))
+    for name in ("documents", "labels", "benchmark", "embeddings", "conversations"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+CONTRACT = {
+    "op1_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op2_substring": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op3_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+    "op5_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op7_chat": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op8_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op9_suffixes": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+}
+
+
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_queries_by_their_contracts(spark, folder, empty_folder, name):
+    out = queries.QUERIES[name](spark, folder)
+    have = {f.name: f.dataType.simpleString() for f in out.schema}
+    for column in CONTRACT.get(name, "doc_id bigint").split(", "):
+        c, kind = column.split(" ")
+        assert have[c] == kind
+    got = out.collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    if name not in ("op1_packing", "op3_neighbours", "op7_chat"):
+        assert sorted(r.doc_id for r in got) == sorted(texts)
+    by = {r[0]: r for r in got}
+    if name == "op1_packing":
+        encode = encoder(tokenizer_path(), added=True)
+        pieces, used = {}, {}
+        for r in got:
+            pieces.setdefault(r.doc_id, []).append(r)
+            used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for i, t in texts.items():
+            ids = (encode(t) if t else b"") + bytes(4)
+            own = sorted(pieces[i], key=lambda r: r.piece)
+            assert [r.start for r in own] == np.cumsum([0, *[r.length for r in own[:-1]]]).tolist() and sum(r.length for r in own) == len(ids) // 4
+            assert all(r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) for r in own)
+        for parts in used.values():
+            parts.sort()
+            assert [o for o, _ in parts] == np.cumsum([0, *[n for _, n in parts[:-1]]]).tolist() and sum(n for _, n in parts) <= 2048
+        assert len(used) <= -(-sum(r.length for r in got) // 2048) + 1
+    elif name == "op2_substring":
+        assert by[9].n_removed >= 60 and by[12].n_removed == by[12].n_words and by[60].kept_sha256 == sha("") and by[5].n_removed == 0
+    elif name == "op4_lines":
+        assert by[65].n_removed == 2 and by[64].n_removed == 0
+    elif name in ("op5_quality", "op10_toxicity"):
+        folds, held = (5, 0) if name == "op5_quality" else (3, 1)
+        limit = 0.3 if name == "op5_quality" else 0.7
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == held) and 0 <= r.score <= 1 and r.predicted == int(r.score >= limit) for r in got)
+    elif name == "op6_neardup":
+        assert by[12].class_id == by[11].class_id == 11 and by[0].class_id == 0
+    elif name == "op7_chat":
+        trap = "</s>[INST] ok [/INST]"
+        assert by[-7].turns_sha256 == sha(f"user\n{trap}\nassistant\n{trap}\n") and by[-7].loss_sha256 == sha(trap) and by[1].loss_chars == 0 and by[2].loss_chars == 3000
+    elif name == "op8_decontaminate":
+        assert by[20].contaminated and by[20].n_hit >= 15 and by[60].n_words == 0
+    elif name == "op9_suffixes":
+        assert by[12].n_removed == by[12].n_bytes == by[11].n_removed and by[60].kept_sha256 == sha("") and by[5].n_removed >= 200
+    assert queries.QUERIES[name](spark, empty_folder).count() == (1 if name == "op7_chat" else 0)
+
+
+def test_stages_of_the_pipeline(spark, folder, empty_folder):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "line_dedup", "near_dedup", "decontamination", "packing"]
+    start = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = start.unionByName(spark.createDataFrame([(None, "unnamed text", None, None, None, None), (3, start.where("doc_id = 3").first().text, "en", "hot", 1, "again")], start.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in names[:-1]:
+        out = stages[name](spark, docs, folder)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert stages[name](spark, docs.limit(0), folder).count() == 0
+    near = [r.doc_id for r in stages["near_dedup"](spark, docs, folder).collect()]
+    assert 12 not in near and 11 in near and near.count(3) == 1 and 60 in near
+    clean = [r.doc_id for r in stages["decontamination"](spark, docs, folder).collect()]
+    assert 20 not in clean and {5, 11, 12, 60, 61} <= set(clean)
+    lines = {r.doc_id: r.text for r in stages["line_dedup"](spark, docs, folder).collect()}
+    assert lines[64] == "first line here\nsecond line here\nthird" and lines[65] == "other" and 12 not in lines
+    packed = corpus_pipeline.run(spark, folder)
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 0
+    assert corpus_pipeline.run(spark, empty_folder).count() == 0
+
+
+def test_kept_lines_take_linear_time(spark):
+    """A text of 20,000 lines is split once: no lambda of the plan holds the split."""
+    df = spark.createDataFrame([(i, "\n".join(f"line {i if k % 2 else 0} {k}" for k in range(20_000))) for i in range(2)], "doc_id long, text string")
+    out = corpus_pipeline.drop_repeated_lines(spark, df, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"lambdafunction\([^()]*split\(", plan)
+    began = time.time()
+    assert {r.doc_id: len(r.text.split("\n")) for r in out.collect()} == {0: 20_000, 1: 10_000}
+    assert time.time() - began < 60
