@@ -3,7 +3,9 @@
 Every stage takes all that the one before kept. All but the last return the columns of their input;
 the last returns the placement of token pieces in sequences. Documents with null or empty texts
 stay where a stage has no reason to drop them; documents of which line deduplication leaves no
-line that isn't blank are dropped.
+line that isn't blank are dropped. Very long texts are taken whole. Of rows that repeat an id and a
+text, and of ties within a near-duplicate group, one row stays. Columns of any other name pass
+through as they are, and an empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ text (and before the backslashes that already stand there), which ``unescape`` t
 
 Edge cases: null texts and roles are empty; a null sequence number sorts first; ties are ordered
 by role, then text; repeated rows are turns of their own; rows with a null conversation id form
-one conversation; other columns of the input are ignored. One conversation is one output value,
+one conversation; an empty table gives an empty result; other columns of the input are ignored,
+whatever their names. One conversation is one output value,
 so it must fit a row; nothing else is gathered.
 """
 

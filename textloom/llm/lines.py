@@ -9,13 +9,15 @@ change which lines lie in a repeated run, so they aren't made. In each interval
 (by document id, then line) is kept, and the lines of all later ones are deleted; intervals of
 neighbouring positions add up to the maximal repeated runs.
 
+That is a join on line runs of one fixed length, in place of the whole array.
+
 All grouping is by aggregation with partial sums before the shuffle, then a join of the runs with
 the intervals' first positions; a very frequent run is split by the engine's skew handling.
 
 Edge cases: null texts have no lines and stay null; empty texts and blank lines stay; documents
 with a null id come first; rows equal in id and text count as one document, and each keeps what
-that keeps; runs may repeat in one document; an empty table gives an empty result; other columns
-are carried in ``doc``.
+that keeps; runs may repeat in one document; a very long text is one row for each of its lines; an
+empty table gives an empty result; other columns are carried in ``doc`` whatever their names.
 """
 
 from __future__ import annotations

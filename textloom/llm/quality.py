@@ -10,7 +10,9 @@ a temperature fitted on rows kept out of training calibrates the probabilities.
 
 Edge cases: null and empty texts are scored from their zero vector; without usable labels the
 score is 0.5, with labels of one class the smoothed share of that class; documents without an
-id are scored and never trained on; repeated rows get equal scores.
+id are scored and never trained on; repeated rows get equal scores and count once for training; an
+empty table gives an empty result; very long texts are pooled whole; other columns are carried in
+``doc`` whatever their names.
 """
 
 from __future__ import annotations
