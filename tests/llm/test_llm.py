@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textloom.llm import chat, neardup, packing, queries, runs
 from textloom.llm import kernel as K
 from textloom.llm.decontaminate import contamination
-from textloom.llm.lines import line_dedup
+from textloom.llm.lines import line_dedup, repeated_runs
 from textloom.llm.neardup import near_duplicates, one_of_each
 from textloom.llm.neighbours import neighbours
 from textloom.llm.quality import quality
@@ -221,6 +221,31 @@ def test_lines(docs, rows, none, least):
     assert some and line_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_maximal_runs_of_lines(spark, least):
+    """Periodic and overlapping runs: each is as long as it goes, starts where none goes on, and all cover every later copy."""
+    r = random.Random(least)
+    seqs = ["abc" * 7, "a" * 40, "".join(r.choice("ab") for _ in range(90)), "".join(r.choice("abcdef") for _ in range(200))]
+    seqs += [seqs[3][20:150] + "x" + seqs[2][5:60], "xy" + seqs[3], "abc" * 7, "z"]
+    df = spark.createDataFrame([(i, "\n".join(s)) for i, s in enumerate(seqs)], "doc_id long, text string")
+    places, later = {}, set()
+    for i, s in enumerate(seqs):
+        for n in range(1, len(s) - least + 2):
+            if places.setdefault(s[n - 1 : n - 1 + least], (i, n)) != (i, n):
+                later.add((i, n))
+    covered, starts = set(), set()
+    for x in repeated_runs(df, min_lines=least).collect():
+        s, t, m = seqs[x.id][x.n - 1 :], seqs[x.first.id][x.first.n - 1 :], x.length
+        assert (x.first.id, x.first.n) < (x.id, x.n) and m >= least
+        assert s[:m] == t[:m] and s[m : m + 1] != t[m : m + 1] or m == min(len(s), len(t))
+        assert (x.id, x.n) not in starts
+        starts.add((x.id, x.n))
+        covered |= {(x.id, x.n + k) for k in range(m - least + 1)}
+    assert covered == later
+    gone = {r.doc_id: list(r.removed) for r in line_dedup(df, min_lines=least, keep=["doc_id"]).select("doc.doc_id", "removed").collect()}
+    assert gone == {i: sorted({n - 1 + k for j, n in later if j == i for k in range(least)}) for i in range(len(seqs))}
+
+
 def test_pipeline_drops_copies_of_single_lines(spark):
     """Of each line that isn't blank the first copy is left, also between lines that differ."""
     long = " ".join(f"w{i}" for i in range(60))
