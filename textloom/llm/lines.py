@@ -133,7 +133,8 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep
     spans = spans.groupBy("id", "copy").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
     body = F.col(quoted(text)).cast("string")
     d = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in keep]).alias("doc"), F.col(quoted(key)).alias("_id"), F.xxhash64(body).alias("_copy"), body.alias("_text"))
-    d = d.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_copy") == F.col("copy")), "left")
+    # The spans grow with the corpus, so they are never broadcast, however few: small inputs take the plan of large ones.
+    d = d.join(spans.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_copy") == F.col("copy")), "left")
     # The text is split once for a document: a lambda that closed over the split would redo it for each line.
     solid = bound(F.split("_text", "\n"), lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: _solid(F.get(p, i))))
     gone = bound(solid, lambda s: F.flatten(F.transform("spans", lambda r: F.slice(s, r["from"], r["to"] - r["from"]))))
