@@ -366,13 +366,16 @@ def test_neardup_chains(spark):
 def test_neardup_compares_pairs_with_few_samples_alike():
     """Within a bucket the exact similarity alone decides, however few samples agree."""
     texts = pa.array([" ".join(f"w{i}" for i in range(n)) for n in (100, 95, 40)])
-    sig = np.arange(3 * 36, dtype=np.uint32).reshape(3, 36)
-    sig[1, :3] = sig[2, :3] = sig[0, :3]
     bands = np.arange(3 * 12).reshape(3, 12)
     bands[:, 0] = 7
     node, idf = np.array([10, 11, 12]), np.ones(1 << neardup.WORD_BITS, np.float32)
-    one = (node, node, sig, bands, texts)
+    one = (node, node, bands, texts)
     assert neardup._join_components(0, *one, *one, idf, 0.8) == [(10, 11)]
+    # Pieces of the right side: one text each, and a chain whose ends are far apart joins in two links.
+    long = pa.array([" ".join(f"w{i}" for i in range(a, a + 400_000)) for a in (0, 20_000, 60_000)])
+    assert len(list(neardup.K.pieces(long))) == 3
+    got = neardup._join_components(0, node, node, bands, long, node, node, bands, long, idf, 0.8)
+    assert sorted(got) == [(10, 11), (11, 12)] or sorted(got) == [(10, 11), (10, 12)]
 
 
 def test_neighbours(spark):

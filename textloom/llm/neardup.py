@@ -13,9 +13,8 @@ Equal texts are one node. Buckets are never expanded into all pairs:
 1. Each text is compared with the least text of each of its buckets, and the links found give
    components. A large group of near copies takes one comparison for each text and bucket.
 2. Where a bucket still holds several components, the texts outside its largest are compared with
-   the others on the texts, in blocks dealt to different tasks, those that agree in the most
-   samples first. Only links that join components are returned, so their number is below that
-   of the texts.
+   the others on the texts, in blocks dealt to different tasks, each text with all of a block at
+   once. Only links that join components are returned, so their number is below that of the texts.
 
 So every link between texts that share a bucket joins texts of one class. Every document gets the class of its component.
 
@@ -145,10 +144,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
+def _whole_weights(t: K.Texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``weighted_shingles`` with weights in millionths, whose sums are exact in any order."""
+    owner, h, weight = weighted_shingles(t, idf)
+    return owner, h, np.rint(weight * 1e6)
+
+
 def _sets(column: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for _, t in K.pieces(column):
-        owner, h, weight = weighted_shingles(t, idf)
+        owner, h, weight = _whole_weights(t, idf)
         at = np.searchsorted(owner, np.arange(len(t) + 1))
         out += [(h[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:])]
     return out
@@ -166,9 +171,9 @@ def _sketches(nodes: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataF
             band = np.stack([K.sequences(s[:, i * rows : (i + 1) * rows].astype(_U).ravel(), rows)[::rows] for i in range(bands)], axis=1)
             empty = ~s.any(axis=1)
             lists = K.list_array(pa.array(band[~empty].ravel().view(np.int64)), np.where(empty, 0, bands))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array([x.tobytes() for x in s], pa.binary())], names=["node", "id", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["node", "id", "bands"])
 
-    return small_batches(nodes).mapInArrow(sketch, "node long, id long, bands array<long>, sig binary")
+    return small_batches(nodes).mapInArrow(sketch, "node long, id long, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -209,12 +214,12 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
-def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, named: DataFrame, idf: np.ndarray, samples: int, threshold: float) -> DataFrame:
+def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, named: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Links that join different components within a bucket: at most one less than components.
 
     The texts outside a bucket's largest component are compared with all of the bucket, blocks of
-    the ones with blocks of the others, likeliest pairs first, and a pair already connected is
-    passed over. A pair that shares several buckets is compared in the first band alone.
+    the ones with blocks of the others, and a pair already connected is passed over. A pair that
+    shares several buckets is compared in the first band alone.
     """
     parts = buckets.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = parts.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
@@ -222,60 +227,61 @@ def _across(buckets: DataFrame, sketches: DataFrame, comps: DataFrame, named: Da
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mixed = store.written(mixed.select("band", "value", "major", blocks(F.col("n") - F.col("most")).alias("minor_blocks"), blocks(F.col("n")).alias("all_blocks")), "mixed")
     rows = parts.join(mixed, ["band", "value"])
-    rows = store.written(rows.join(sketches.select("node", "sig", "bands"), "node"), "open")
+    rows = store.written(rows.join(sketches.select("node", "bands"), "node"), "open")
     texts = _texts(named, sketches, rows.select("node").distinct())
     rows = rows.join(texts, "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["node", "root", "sig", "bands", "text"]
+    columns = ["node", "root", "bands", "text"]
     left = rows.where("root <> major").select(F.col("band").alias("lb"), F.col("value").alias("lv"), deal("minor_blocks").alias("li"), every("all_blocks").alias("lj"), *[F.col(c).alias("l_" + c) for c in columns])
     right = rows.select("band", "value", deal("all_blocks").alias("j"), every("minor_blocks").alias("i"), *columns)
 
     def compare(key, x: pa.Table, y: pa.Table) -> pa.Table:
         band, links = key[0].as_py(), []
         if x.num_rows and y.num_rows:
-            links = _join_components(band, *_compared(x, "l_", samples), *_compared(y, "", samples), idf, threshold)
+            links = _join_components(band, *_compared(x, "l_"), *_compared(y, ""), idf, threshold)
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return left.groupBy("lb", "lv", "li", "lj").cogroup(right.groupBy("band", "value", "i", "j")).applyInArrow(compare, "a long, b long").distinct()
 
 
-def _compared(t: pa.Table, prefix: str, samples: int):
-    sig = np.frombuffer(b"".join(t.column(prefix + "sig").to_pylist()), np.uint32).reshape(t.num_rows, samples)
+def _compared(t: pa.Table, prefix: str):
     bands = t.column(prefix + "bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    return t.column(prefix + "node").to_numpy(), t.column(prefix + "root").to_numpy(), sig, bands, t.column(prefix + "text").combine_chunks()
-
-
-def _join_components(band, node, root, sig, bands, texts, node2, root2, sig2, bands2, texts2, idf, threshold) -> list[tuple[int, int]]:
-    parent = {int(r): int(r) for r in np.unique(np.concatenate([root, root2]))}
-
-    def find(r: int) -> int:
-        while parent[r] != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
-    known: dict[tuple[int, int], tuple] = {}
-
-    def shingles(side: int, i: int):
-        if (side, i) not in known:
-            known[side, i] = _sets((texts, texts2)[side].slice(i, 1), idf)[0]
-        return known[side, i]
-
-    ks, at, score = [], [], []
-    for k in range(len(node)):
-        near = np.flatnonzero(root2 != root[k])
-        near = near[np.argmax(bands2[near] == bands[k], axis=1) == band]
-        ks.append(np.full(len(near), k)), at.append(near), score.append((sig2[near] == sig[k]).sum(axis=1))
-    ks, at, score = np.concatenate(ks), np.concatenate(at), np.concatenate(score)
-    links = []
-    for n in np.argsort(-score, kind="stable"):
-        k, i = int(ks[n]), int(at[n])
-        a, b = find(int(root[k])), find(int(root2[i]))
-        if a != b and similarity(shingles(0, k), shingles(1, i)) >= threshold:
-            parent[a] = b
-            links.append((min(int(node[k]), int(node2[i])), max(int(node[k]), int(node2[i]))))
+    return t.column(prefix + "node").to_numpy(), t.column(prefix + "root").to_numpy(), bands, t.column(prefix + "text").combine_chunks()
+
+
+def _join_components(band, node, root, bands, texts, node2, root2, bands2, texts2, idf, threshold) -> list[tuple[int, int]]:
+    """Links between a text of the left and one of the right that join components, one for each join."""
+    mine, links, at = _sets(texts, idf), [], 0
+    root, root2 = root.copy(), root2.copy()
+    for _, t in K.pieces(texts2):
+        here = slice(at, at + len(t))
+        at += len(t)
+        owner, h, weight = _whole_weights(t, idf)
+        names, code = np.unique(h, return_inverse=True)
+        total = np.bincount(owner, weight, len(t))
+        dense = np.zeros(len(names))
+        for k, (h1, w1) in enumerate(mine):
+            own = w1.sum()
+            # No similarity exceeds the ratio of the smaller total to the larger; the slack is for rounding.
+            near = (root2[here] != root[k]) & (np.minimum(total, own) >= threshold * (1 - 1e-9) * np.maximum(total, own))
+            near[near] = np.argmax(bands2[here][near] == bands[k], axis=1) == band
+            if not near.any():
+                continue
+            place = np.minimum(np.searchsorted(names, h1), len(names) - 1)
+            same = names[place] == h1
+            dense[place[same]] = w1[same]
+            pick = np.flatnonzero(near[owner])
+            both = np.bincount(owner[pick], np.minimum(weight[pick], dense[code[pick]]), len(t))
+            dense[place[same]] = 0
+            hits = np.flatnonzero(near & (both / (total + own - both) >= threshold))
+            joined, one = np.unique(root2[here][hits], return_index=True)
+            for i in hits[one] + here.start:
+                links.append((min(int(node[k]), int(node2[i])), max(int(node[k]), int(node2[i]))))
+            if len(joined):
+                to = root[k]
+                root[np.isin(root, joined)], root2[np.isin(root2, joined)] = to, to
     return links
 
 
@@ -294,14 +300,14 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     idf = idf_table(docs, text)
     named = docs.where(body.isNotNull()).select(F.xxhash64(body).alias("node"), ident.alias("id"), body.alias("text"))
     every = _sketches(named, idf, bands, rows)
-    sketches = store.written(every.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sketches")
+    sketches = store.written(every.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "sketches")
     buckets = store.written(sketches.select("node", F.posexplode("bands").alias("band", "value")), "buckets")
     shared = buckets.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "value", "a")
     star = store.written(buckets.join(shared, ["band", "value"]).where("a <> node").select("a", F.col("node").alias("b")).distinct(), "star")
     ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = store.written(_verify(star, _texts(named, sketches, ends), idf, threshold), "links")
     comps = components(links)
-    more = store.written(_across(buckets, sketches, comps, named, idf, bands * rows, threshold), "across")
+    more = store.written(_across(buckets, sketches, comps, named, idf, threshold), "across")
     if more.limit(1).count():
         links = links.union(more)
         comps = components(links)
