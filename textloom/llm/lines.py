@@ -4,7 +4,7 @@ The sequence of a document is its lines that aren't blank, each named by a 128-b
 names the runs of ``min_lines`` times 1, 2, 4, ... lines by the names of their halves; positions
 with one name are an interval of the suffix array whose longest common prefix has at least that
 many lines, and only positions in an interval of several go on to the next level, until there is
-none. Order within the array plays no part, so positions are grouped by name and never sorted
+none. With ``min_lines`` of 1, as the query and the pipeline take it, a single line is a run. Order within the array plays no part, so positions are grouped by name and never sorted
 over the corpus.
 
 A position that isn't the first (by document id, then line) of its interval is a later copy: its

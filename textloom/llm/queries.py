@@ -59,17 +59,15 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"], min_lines=2)
+    out = line_dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"], min_lines=1)
     return out.select("doc.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p FROM d),
-seq AS (SELECT doc_id, p, x, lead(x) OVER w AS y, lead(p) OVER w AS q FROM line WHERE trim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> ''
-  WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, p) AS r FROM seq WHERE y IS NOT NULL),
-gone AS (SELECT doc_id, p FROM ranked WHERE r > 1 UNION SELECT doc_id, q FROM ranked WHERE r > 1),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS r FROM line WHERE trim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> ''),
+gone AS (SELECT doc_id, p FROM ranked WHERE r > 1),
 left_ AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS kept, count(*) AS n FROM line ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT documents.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN left_ USING (doc_id)
