@@ -105,3 +105,12 @@ def test_plain_text_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.trec_lists(spark, str(p)).collect()] == [("Q1", 5, 1), ("Q1", 6, 2), ("Q2", 7, 1)]
     p.write_text("the 0.5 1\nbad x 1\n\ncat 1 2\n")
     assert [(r.word, list(r.vec)) for r in readers.word_vectors(spark, str(p), 2).where("word <> '<unk>'").collect()] == [("the", [0.5, 1.0]), ("cat", [1.0, 2.0])]
+
+
+def test_trec_lists_splits_a_line_once(spark, tmp_path):
+    """Not anew for each of its documents, above the generator."""
+    p = tmp_path / "lists.txt"
+    p.write_text("Q1: " + " ".join(str(i) for i in range(3000)) + "\n")
+    df = readers.trec_lists(spark, str(p))
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert df.where("qid = 'Q1' and rank = doc_id + 1").count() == 3000

@@ -174,5 +174,7 @@ def trec_judgments(spark: SparkSession, path: str) -> DataFrame:
 def trec_lists(spark: SparkSession, path: str) -> DataFrame:
     """``qid``, ``doc_id`` and ``rank`` of lines ``qid d1 d2 ...`` or ``qid: d1 d2 ...``."""
     p = F.split(F.trim("value"), r":?\s+")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(p[0].alias("qid"), F.posexplode(F.slice(p, 2, F.size(p) - 1)).alias("pos", "d"))
+    # The query's id is taken before the line is exploded: beside the generator the line would be split anew for each of its documents.
+    rows = spark.read.text(path).where(F.trim("value") != "").select(p.alias("p")).select(F.get("p", F.lit(0)).alias("qid"), F.slice("p", 2, F.size("p") - 1).alias("ids"))
+    rows = rows.select("qid", F.posexplode("ids").alias("pos", "d"))
     return rows.select("qid", F.col("d").cast("long").alias("doc_id"), (F.col("pos") + 1).alias("rank"))
