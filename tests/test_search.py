@@ -109,6 +109,20 @@ def test_clean_html(spark, markup, text):
     assert df.select(X.clean_html(F.col("html")).alias("t")).first().t == text
 
 
+def test_strip_html_as_its_sql(spark, tmp_path):
+    """Letters beside an ampersand: of ASCII or not, and shared by two."""
+    import duckdb
+
+    from textloom.queries import QUERIES, SQL
+
+    pages = spark.createDataFrame([(1, "<p>AT&amp;T</p>"), (2, "<p>an\u00e9&am</p>"), (3, "<p>chber\u00df&amp</p>"), (4, "a&amp;b&amp;c &amp; d"), (5, "x&\u00e9")], "page_id long, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(db.execute(SQL["html_strip"]).fetchall())
+    assert dict(map(tuple, QUERIES["html_strip"](spark, str(tmp_path)).collect())) == want
+
+
 def test_word_tokens(spark):
     df = spark.createDataFrame([("<p>Don't stop, AT&amp;T (now).</p>",)], "html string")
     assert df.select(X.word_tokens(F.col("html")).alias("t")).first().t == ["Do", "n't", "stop", ",", "AT&T", "(", "now", ")", "."]
