@@ -209,3 +209,34 @@ def test_judged_candidates(index, spark):
     absent = spark.createDataFrame([("q", 99, 1.0)], "qid string, doc_id long, rel double")
     with pytest.raises(KeyError):
         metrics.judged_candidates(index, queries, absent)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_grouped_where_they_are(spark, monkeypatch):
+    """Postings and grams of a document come from its row: no shuffle of its tokens."""
+    monkeypatch.setattr("textloom.operators.index.PIECE", 5)
+    texts = {1: ["b", "a", "b", "a", "b"], 2: [], 3: ["x"], 4: ["a"] * 9, 5: ["b", "a"]}
+    ix = Index(of_tokens(spark.createDataFrame(list(texts.items()), "doc_id long, tokens array<string>")).repartition(1))
+    for n in (1, 2, 3):
+        got = {(tuple(r.gram), r.doc_id): r.positions for r in ix.gram_positions(n).collect()}
+        want = {}
+        for i, t in texts.items():
+            for k in range(len(t) - n + 1):
+                want.setdefault((tuple(t[k : k + n]), i), []).append(k)
+        assert got == want and {(tuple(r.gram), r.doc_id) for r in ix.grams(n).collect()} == set(want)
+    assert {(r.term, r.doc_id): (r.tf, r.positions) for r in ix.postings.collect()}["a", 5] == (1, [1])
+    flat = Index(spark.createDataFrame(list(texts.items()), "doc_id long, tokens array<string>"))
+    assert not any("Aggregate" in plan(df) for df in (flat.postings, flat.grams(2), flat.gram_positions(2)))
+    flat.terms = spark.createDataFrame([("anna", 1)], "term string, df long")
+    assert "Aggregate" not in plan(flat.chargrams)
+    grams = sorted(r.gram for r in flat.chargrams.collect())
+    assert len(grams) == len(set(grams)) and {"a", "an", "$an", "nna", "a$"} <= set(grams)
+
+
+def test_query_words_reach_the_scan(index, spark):
+    queries = spark.createDataFrame([("q", "amber silver")], "qid string, query string")
+    candidates = spark.createDataFrame([("q", 11)], "qid string, doc_id long")
+    assert "IN (amber,silver)" in plan(rank(index, candidates, queries, "tfidf"))
