@@ -240,3 +240,19 @@ def test_query_words_reach_the_scan(index, spark):
     queries = spark.createDataFrame([("q", "amber silver")], "qid string, query string")
     candidates = spark.createDataFrame([("q", 11)], "qid string, doc_id long")
     assert "IN (amber,silver)" in plan(rank(index, candidates, queries, "tfidf"))
+
+
+def test_vectors_move_once_for_a_block(spark, monkeypatch):
+    """Many blocks, words that hold the mark, lists too short; no sums of single numbers by Spark."""
+    monkeypatch.setattr(embed, "BLOCK", 4)
+    monkeypatch.setattr(embed, "STEP", 2)
+    texts = {i: ["a", f"b{embed.MARK}c", "zz", "a", "d"][: i % 6] for i in range(1, 13)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, tokens array<string>")
+    known = {"a": [1.0, 2.0], f"b{embed.MARK}c": [4.0, -1.0], "d": [1.0, 2.0], "<unk>": [0.5, 0.25]}
+    v = spark.createDataFrame(list(known.items()), "word string, vec array<float>")
+    out = embed.document_vectors(docs, v, "meanmax")
+    assert "partial_sum" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: list(r.vec) for r in out.collect()}
+    for i, t in texts.items():
+        rows = [known.get(w, known["<unk>"]) for w in t] or [[0.0, 0.0]]
+        assert got[i] == pytest.approx([sum(c) / len(rows) for c in zip(*rows)] + [max(c) for c in zip(*rows)], abs=1e-6)
