@@ -256,3 +256,14 @@ def test_vectors_move_once_for_a_block(spark, monkeypatch):
     for i, t in texts.items():
         rows = [known.get(w, known["<unk>"]) for w in t] or [[0.0, 0.0]]
         assert got[i] == pytest.approx([sum(c) / len(rows) for c in zip(*rows)] + [max(c) for c in zip(*rows)], abs=1e-6)
+
+
+def test_terms_are_counted_in_their_row(spark, monkeypatch):
+    """For TF-IDF no shuffle of tokens by document, and the vocabulary without the postings."""
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, [])], "doc_id long, tokens array<string>")
+    got = {(r.doc_id, r.term): r.weight for r in features.tfidf(docs, "raw").collect()}
+    assert got == {(1, "a"): pytest.approx(2 / 3 * math.log(3)), (1, "b"): pytest.approx(1 / 3 * math.log(1.5)), (2, "b"): pytest.approx(math.log(1.5))}
+    assert "doc_id" not in "".join(x for x in plan(features.tfidf(docs, "log")).splitlines() if "Aggregate" in x)
+    ix = Index(docs)
+    monkeypatch.setattr(Index, "postings", None)
+    assert sorted(r.term for r in ix.words.collect()) == ["a", "b"]
